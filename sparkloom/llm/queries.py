@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import decontaminate, pii, quality, sentencepieces, tokens
+from sparkloom.llm import decontaminate, jaccard, pii, quality, sentencepieces, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -35,8 +39,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op5_token_counts, op8_sentencepiece, op10_pii)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op4_jaccard_join, op5_token_counts, op8_sentencepiece, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op3_quality_rules": quality.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op3_quality_rules": quality.ORACLE, "op4_jaccard_join": jaccard.ORACLE}
