@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,6 +119,17 @@ def maybe_in(field: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (field.view(np.uint64)[(m >> np.uint64(6)).astype(np.int64)] >> (m & np.uint64(63))) & np.uint64(1) == 1
 
 
+def let_through(df: DataFrame, column: str, field: np.ndarray) -> DataFrame:
+    """The rows of ``df`` whose ``column`` (long) a ``bloom`` lets through."""
+    sent = df.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(maybe_in(sent.value, b.column(column).to_numpy(zero_copy_only=False))))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def components(spark: SparkSession, edges: DataFrame, tables: Tables) -> DataFrame:
     """(v, comp): the smallest vertex that each vertex of ``edges`` (a, b) reaches.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import decontaminate, jaccard, pii, quality, sentencepieces, tokens
+from sparkloom.llm import decontaminate, jaccard, pii, quality, sentencepieces, substrings, suffixes, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -34,13 +38,24 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op4_jaccard_join, op5_token_counts, op8_sentencepiece, op10_pii)}
+    found = (op1_decontaminate, op2_substring_dedup, op3_quality_rules, op4_jaccard_join, op5_token_counts, op8_sentencepiece, op9_suffix_array_dedup, op10_pii)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op3_quality_rules": quality.ORACLE, "op4_jaccard_join": jaccard.ORACLE}
+    return {
+        "op1_decontaminate": decontaminate.ORACLE,
+        "op2_substring_dedup": substrings.ORACLE,
+        "op3_quality_rules": quality.ORACLE,
+        "op4_jaccard_join": jaccard.ORACLE,
+        "op9_suffix_array_dedup": suffixes.ORACLE,
+    }
