@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import decontaminate, jaccard, pii, quality, sentencepieces, substrings, suffixes, tokens
+from sparkloom.llm import decontaminate, jaccard, language, licenses, pii, quality, sentencepieces, substrings, suffixes, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -47,7 +55,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontaminate, op2_substring_dedup, op3_quality_rules, op4_jaccard_join, op5_token_counts, op8_sentencepiece, op9_suffix_array_dedup, op10_pii)
+    found = (op1_decontaminate, op2_substring_dedup, op3_quality_rules, op4_jaccard_join, op5_token_counts, op6_language_id, op7_license_scan, op8_sentencepiece, op9_suffix_array_dedup, op10_pii)
     return {f.__name__: f for f in found}
 
 
@@ -57,5 +65,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_substring_dedup": substrings.ORACLE,
         "op3_quality_rules": quality.ORACLE,
         "op4_jaccard_join": jaccard.ORACLE,
+        "op7_license_scan": licenses.ORACLE,
         "op9_suffix_array_dedup": suffixes.ORACLE,
     }
