@@ -1,4 +1,4 @@
-"""Queries over the supplied tables, one for each operator."""
+"""Queries over the supplied tables, one or more for each operator, and SQL for the same rows."""
 
 from __future__ import annotations
 
@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.catalog import algebra
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+_ALL = {**algebra.QUERIES}
+
+entry = algebra.entry
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for name, (run, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
