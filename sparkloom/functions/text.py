@@ -163,7 +163,8 @@ def fenced_code(text: str) -> dict[str, Column]:
     """code and error: the inside of exactly one fenced block, the trimmed text without one."""
     n = F.regexp_count(F.col(text), F.lit("```"))
     inside = F.regexp_extract(F.col(text), r"(?s)```[A-Za-z0-9_+-]*[ \t]*\r?\n(.*?)```", 1)
-    code = F.when(n == 0, F.trim(F.col(text))).when(n == 2, F.trim(inside))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    code = F.when(n == 0, bare(F.col(text))).when(n == 2, bare(inside))
     return {"code": code, "error": F.when(n.isin(0, 2), F.lit(None).cast("string")).otherwise("fences")}
 
 

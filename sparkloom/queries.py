@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.catalog import algebra
+from sparkloom.catalog import algebra, analytics, dataset
 
-_ALL = {**algebra.QUERIES}
+_ALL = {**algebra.QUERIES, **dataset.QUERIES, **analytics.QUERIES}
 
 entry = algebra.entry
 
