@@ -48,8 +48,8 @@ def balanced(rows: DataFrame, group: str, style: str, rank: Column, needed: Colu
 
     The r-th row of a style is picked when its style has been picked r - 1 times, so ordering a group by (r, style) gives the picks.
     """
-    out = rows.withColumn("r", F.row_number().over(W.partitionBy(group, style).orderBy(rank)))
-    out = out.withColumn("pick", F.row_number().over(W.partitionBy(group).orderBy("r", style)))
+    out = rows.withColumn("_place", F.row_number().over(W.partitionBy(group, style).orderBy(rank)))
+    out = out.withColumn("pick", F.row_number().over(W.partitionBy(group).orderBy("_place", style))).drop("_place")
     return out.withColumn("selected", F.col("pick") <= needed)
 
 

@@ -114,7 +114,7 @@ def style_text() -> Column:
 
 def style_problem() -> Column:
     """Why a style is not valid, null if it is: choices of the operation's kind, loops that write elsewhere, names in staged code only."""
-    loop = "exists(steps, (x) -> x.collection = 'for_loop')"
+    loop = "exists(steps, x -> x.collection = 'for_loop')"
     kinds = "forall(steps, x -> (x.kind IN ('filter', 'map')) = (x.collection <> '') AND (x.kind = 'filter') = (x.direction <> '') AND (x.kind IN ('filter', 'map')) = (x.element <> ''))"
     own = "exists(transform(steps, (x, i) -> x.collection = 'for_loop' AND x.target = coalesce(get(steps, i - 1).target, 'xs')), x -> x)"
     return F.expr(
