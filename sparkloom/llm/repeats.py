@@ -66,15 +66,16 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).cast("long").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    """(k, t, text): id and a hash of the text, which keeps apart texts under one id."""
+    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).cast("long").alias("k"), F.xxhash64("text").alias("t"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def contexts(docs: DataFrame, symbols: Symbols, length: int, gram: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """Two written tables over ``docs`` (k, text).
+    """Two written tables over ``docs`` (k, t, text).
 
-    runs: (h, x, k, s, e, p): a run of windows that start at symbols s to e of document k, whose anchor, at p, has a hash h that
+    runs: (h, x, k, t, s, e, p): a run of windows that start at symbols s to e of document k, whose anchor, at p, has a hash h that
     occurs elsewhere too; x is the hash of the context.
-    kinds: (h, x, n, first, others): how many runs share a context; the least (k, s, e, p) of them; the number of other contexts of h.
+    kinds: (h, x, n, first, others): how many runs share a context; the least (k, t, s, e, p) of them; the number of other contexts of h.
 
     A first scan counts anchor hashes, added up in each batch. The second writes the runs of anchors that a fixed-size bit field
     of the repeated ones lets through; a stray one has a count of 1 and does no harm.
@@ -92,52 +93,54 @@ def contexts(docs: DataFrame, symbols: Symbols, length: int, gram: int, tables:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for k, t in zip(b.column("k").to_pylist(), b.column("text").to_pylist(), strict=True):
-                sums = prefix_sums(symbols(t.encode()))
+            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for k, t, text in zip(*[b.column(c).to_pylist() for c in ("k", "t", "text")], strict=True):
+                sums = prefix_sums(symbols(text.encode()))
                 h, p, first, last = runs(sums, length, gram)
                 keep = maybe_in(field.value, h.view(np.int64)) if len(h) else np.empty(0, bool)
                 if keep.any():
                     h, p, first, last = h[keep], p[keep], first[keep], last[keep]
-                    for i, x in enumerate((h.view(np.int64), span_hashes(sums, first, last + length).view(np.int64), np.full(len(h), k), first, last, p)):
+                    for i, x in enumerate((h.view(np.int64), span_hashes(sums, first, last + length).view(np.int64), np.full(len(h), k), np.full(len(h), t), first, last, p)):
                         out[i].append(x)
             cat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cat, (*[pa.int64()] * 3, *[pa.int32()] * 3), strict=True)], ["h", "x", "k", "s", "e", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cat, (*[pa.int64()] * 4, *[pa.int32()] * 3), strict=True)], ["h", "x", "k", "t", "s", "e", "p"])
 
-    runs_ = tables.write(docs.mapInArrow(emit, "h long, x long, k long, s int, e int, p int"))
-    kinds = runs_.groupBy("h", "x").agg(F.count("*").alias("n"), F.min(F.struct("k", "s", "e", "p")).alias("first"))
+    runs_ = tables.write(docs.mapInArrow(emit, "h long, x long, k long, t long, s int, e int, p int"))
+    kinds = runs_.groupBy("h", "x").agg(F.count("*").alias("n"), F.min(F.struct("k", "t", "s", "e", "p")).alias("first"))
     kinds = tables.write(kinds.where("first IS NOT NULL"))
     many = kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    return runs_, tables.write(kinds.join(many, "h", "left").select("h", "x", "n", "first", F.coalesce(F.col("m") - 1, F.lit(0)).alias("others")))
+    out = tables.write(kinds.join(many, "h", "left").select("h", "x", "n", "first", F.coalesce(F.col("m") - 1, F.lit(0)).alias("others")))
+    tables.drop(kinds)
+    return runs_, out
 
 
 def with_texts(docs: DataFrame, per_doc: DataFrame) -> DataFrame:
-    """``per_doc`` (one row a k) with the texts of its documents; only texts that a fixed-size bit field lets through are shuffled."""
-    return let_through(docs, "k", bloom(per_doc, "k", 24)).join(per_doc, "k")
+    """``per_doc`` (one row a k and t) with the texts of its documents; only texts that a fixed-size bit field lets through are shuffled."""
+    return let_through(docs, "k", bloom(per_doc, "k", 24)).join(per_doc, ["k", "t"])
 
 
 def finish(docs: DataFrame, spans: DataFrame, judge: Callable[[str, np.ndarray, np.ndarray], tuple], fields: str) -> DataFrame:
-    """doc_id and what ``judge`` says of each row's text and the starts and ends of its ``spans`` (k, s, e).
+    """doc_id and what ``judge`` says of each row's text and the starts and ends of its ``spans`` (k, t, s, e).
 
     Spans are gathered a document, at most one for each of its symbols. Documents that the bit field of those with spans doesn't
     let through are judged where they are read; the other texts are shuffled to their spans once.
     """
-    per_doc = spans.groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    per_doc = spans.groupBy("k", "t").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     field = docs.sparkSession.sparkContext.broadcast(bloom(spans.select("k").distinct(), "k", 24))
     names = [f.split()[0] for f in fields.split(", ")]
-    schema = pa.schema([("k", pa.int64()), ("text", pa.string()), *[(n, pa.string() if f.endswith("string") else pa.int64()) for n, f in zip(names, fields.split(", "), strict=True)]])
+    schema = pa.schema([("k", pa.int64()), ("t", pa.int64()), ("text", pa.string()), *[(n, pa.string() if f.endswith("string") else pa.int64()) for n, f in zip(names, fields.split(", "), strict=True)]])
     none = np.empty(0, np.int64)
 
-    def table(k, text, said) -> pa.RecordBatch:
+    def table(b, text, said) -> pa.RecordBatch:
         cols = list(zip(*said, strict=True)) if said else [[] for _ in names]
-        return pa.RecordBatch.from_arrays([k, pa.array(text, pa.string()), *[pa.array(c, t.type) for c, t in zip(cols, list(schema)[2:], strict=True)]], schema=schema)
+        return pa.RecordBatch.from_arrays([b.column("k"), b.column("t"), pa.array(text, pa.string()), *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[3:], strict=True)]], schema=schema)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             maybe = maybe_in(field.value, b.column("k").to_numpy(zero_copy_only=False))
             texts = b.column("text").to_pylist()
             said = [(None,) * len(names) if m else judge(t, none, none) for m, t in zip(maybe, texts, strict=True)]
-            yield table(b.column("k"), [t if m else None for m, t in zip(maybe, texts, strict=True)], said)
+            yield table(b, [t if m else None for m, t in zip(maybe, texts, strict=True)], said)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,7 +153,7 @@ def finish(docs: DataFrame, spans: DataFrame, judge: Callable[[str, np.ndarray,
                 own = spans_[i].values
                 s, e = (own.field("s").to_numpy(zero_copy_only=False), own.field("e").to_numpy(zero_copy_only=False)) if own is not None else (none, none)
                 said.append(judge(t, s, e))
-            yield table(b.column("k"), [None] * len(texts), said)
+            yield table(b, [None] * len(texts), said)
 
-    out = docs.mapInArrow(first, f"k long, text string, {fields}").join(per_doc, "k", "left").mapInArrow(second, f"k long, text string, {fields}")
+    out = docs.mapInArrow(first, f"k long, t long, text string, {fields}").join(per_doc, ["k", "t"], "left").mapInArrow(second, f"k long, t long, text string, {fields}")
     return out.select(F.when(F.col("k") != NULL_ID, F.col("k")).alias("doc_id"), *names)

@@ -10,7 +10,7 @@ that repeat are extended both ways over their whole context, the text that all t
 Each window belongs to one anchor, so nothing is compared twice; a window counts as repeated when its hash occurs at two starts,
 the same document included. Windows are judged on the input. Removed is what any repeated window covers.
 
-Null text: no words. Repeated rows, also of one doc_id, are copies like any others. Spans are joined back by doc_id.
+Null text: no words. Repeated rows, also of one doc_id, are copies like any others. Texts under one doc_id are kept apart by a hash.
 """
 
 from __future__ import annotations
@@ -39,27 +39,26 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool =
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ks, hs, starts, times = [], [], [], []
-            for i, (k, t) in enumerate(zip(b.column("k").to_pylist(), b.column("text").to_pylist(), strict=True)):
-                sums = repeats.prefix_sums(word_hashes(t.encode()))
+            ks, ts, hs, starts, times = [], [], [], [], []
+            for i, (k, t, text) in enumerate(zip(*[b.column(c).to_pylist() for c in ("k", "t", "text")], strict=True)):
+                sums = repeats.prefix_sums(word_hashes(text.encode()))
                 own = b.column("own")[i].values
                 s, e, n = (own.field(c).to_numpy(zero_copy_only=False) for c in ("s", "e", "n"))
-                inside = e < len(sums) - window  # of another text under the same doc_id
-                s, e, n = s[inside], e[inside], n[inside]
-                at = np.concatenate([np.arange(x, y + 1) for x, y in zip(s, e, strict=True)]) if len(s) else np.empty(0, np.int64)
+                at = np.concatenate([np.arange(x, y + 1) for x, y in zip(s, e, strict=True)])
                 ks.append(np.full(len(at), k))
+                ts.append(np.full(len(at), t))
                 hs.append(repeats.span_hashes(sums, at, at + window).view(np.int64))
                 starts.append(at)
                 times.append(np.repeat(n, e - s + 1))
-            cat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (hs, ks, starts, times)]
-            yield pa.RecordBatch.from_arrays([pa.array(cat[0]), pa.array(cat[1], pa.int64()), pa.array(cat[2], pa.int32()), pa.array(cat[3], pa.int32())], ["w", "k", "s", "n"])
+            cat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (hs, ks, ts, starts, times)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cat[:3]], *[pa.array(c, pa.int32()) for c in cat[3:]]], ["w", "k", "t", "s", "n"])
 
-    some = kinds.where("others > 0").select("first.k", "first.s", "first.e", F.least("n", F.lit(2)).cast("int").alias("n"))
-    own = tables.write(some.groupBy("k").agg(F.collect_list(F.struct("s", "e", "n")).alias("own")))
-    windows = tables.write(repeats.with_texts(rows, own).mapInArrow(extend, "w long, k long, s int, n int"))
+    some = kinds.where("others > 0").select("first.k", "first.t", "first.s", "first.e", F.least("n", F.lit(2)).cast("int").alias("n"))
+    own = tables.write(some.groupBy("k", "t").agg(F.collect_list(F.struct("s", "e", "n")).alias("own")))
+    windows = tables.write(repeats.with_texts(rows, own).mapInArrow(extend, "w long, k long, t long, s int, n int"))
     twice = windows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")
-    found = windows.join(twice, "w", "left_semi").select("k", "s", (F.col("s") + window).alias("e"))
-    spans = tables.write(copied.select("k", "s", (F.col("e") + window).alias("e")).union(found).distinct())
+    found = windows.join(twice, "w", "left_semi").select("k", "t", "s", (F.col("s") + window).alias("e"))
+    spans = tables.write(copied.select("k", "t", "s", (F.col("e") + window).alias("e")).union(found).distinct())
     tables.drop(runs, kinds, own, windows)
 
     def judge(text: str, s: np.ndarray, e: np.ndarray) -> tuple:

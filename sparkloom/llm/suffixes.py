@@ -1,6 +1,6 @@
 """Suffix-array dedup: bytes covered by a 100-byte string that also starts earlier are removed.
 
-A sparse suffix array: of all suffixes, those at winnowed anchors of 16 bytes are looked at first (see ``repeats``; every 100 bytes
+A sparse suffix array: of all suffixes, those at winnowed anchors of 32 bytes are looked at first (see ``repeats``; every 100 bytes
 have one), and only where an anchor repeats can a 100-byte string repeat.
 
 * Runs with equal contexts: all but the first, by (doc_id, start), are removed whole; the first speaks for the context from here on.
@@ -11,7 +11,8 @@ have one), and only where an anchor repeats can a 100-byte string repeat.
 * Anchors of more than ``HOT`` contexts, too many for one bucket, are compared across buckets: their suffixes are keyed by a hash of 128
   bits of the 100 bytes, the first of each key is found with partial minima, and the others are joined with it.
 
-Null text: no bytes. Rows that repeat a doc_id with the same text are one document, and get the same result.
+Null text: no bytes. Rows that repeat a doc_id with the same text are one document, and get the same result;
+other texts under one doc_id are kept apart by a hash, in whose order they then come.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from sparkloom.llm import repeats
 from sparkloom.llm.common import Tables, slots
 from sparkloom.llm.jaccard import mix
 
-WINDOW, GRAM = 100, 16
+WINDOW, GRAM = 100, 32
 #: Contexts of one anchor up to which a bucket takes them; windows that a bucket should have.
 HOT, BUCKET_WINDOWS = 10_000, 400_000
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -58,22 +59,26 @@ def multikey_groups(columns: np.ndarray, at: np.ndarray, length: int) -> tuple[n
     return left, group
 
 
-def _later(texts: list[bytes], ks: np.ndarray, starts: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(k, start) of the suffixes, ``counts`` from each context, whose window has an earlier one among them."""
+def _later(texts: list[bytes], ks: np.ndarray, ts: np.ndarray, starts: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(k, t, first, last) of the runs of starts, ``counts`` from each context, whose windows have an earlier equal one among them."""
     data = np.frombuffer(b"".join(texts) + bytes(8), np.uint8).astype(np.uint64)
     columns = np.zeros(len(data) - 7, np.uint64)
     for j in range(8):
         columns = (columns << np.uint64(8)) | data[j : len(data) - 7 + j]
     offset = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[:-1]
     inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at, k, s = np.repeat(offset, counts) + inside, np.repeat(ks, counts), np.repeat(starts, counts) + inside
+    at, k, t, s = np.repeat(offset, counts) + inside, np.repeat(ks, counts), np.repeat(ts, counts), np.repeat(starts, counts) + inside
     left, group = multikey_groups(columns, at, window)
-    order = np.lexsort((s[left], k[left], group))
+    order = np.lexsort((s[left], t[left], k[left], group))
     left, group = left[order], group[order]
     first = np.concatenate([[True], group[1:] != group[:-1]]) if len(left) else np.empty(0, bool)
     lead = left[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(left) else left
-    later = (k[left] != k[lead]) | (s[left] != s[lead])
-    return k[left[later]], s[left[later]]
+    later = left[(k[left] != k[lead]) | (t[left] != t[lead]) | (s[left] != s[lead])]
+    k, t, s = k[later], t[later], s[later]
+    order = np.lexsort((s, t, k))
+    k, t, s = k[order], t[order], s[order]
+    new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (s[1:] > s[:-1] + 1)])) if len(k) else np.empty(0, np.int64)
+    return k[new], t[new], s[new], s[np.append(new[1:], len(s)) - 1] if len(k) else s
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -82,32 +87,32 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     tables = Tables(spark, "suffixes")
     rows = repeats._rows(docs)
     runs, kinds = repeats.contexts(rows, byte_values, window, gram, tables)
-    copies = kinds.where("n > 1").select("h", "x", F.col("first.k").alias("fk"), F.col("first.s").alias("fs"))
-    copied = runs.join(copies, ["h", "x"]).where("k <> fk OR s <> fs").select("k", "s", (F.col("e") + window).alias("e"))
+    copies = kinds.where("n > 1").select("h", "x", F.col("first.k").alias("fk"), F.col("first.t").alias("ft"), F.col("first.s").alias("fs"))
+    copied = runs.join(copies, ["h", "x"]).where("k <> fk OR t <> ft OR s <> fs").select("k", "t", "s", (F.col("e") + window).alias("e"))
 
-    some = kinds.where("others > 0").select("first.k", "h", "first.s", "first.e", "first.p", (F.col("others") >= HOT).alias("hot"))
-    own = tables.write(some.groupBy("k").agg(F.collect_list(F.struct("h", "s", "e", "p", "hot")).alias("own")))
+    some = kinds.where("others > 0").select("first.k", "first.t", "h", "first.s", "first.e", "first.p", (F.col("others") >= HOT).alias("hot"))
+    own = tables.write(some.groupBy("k", "t").agg(F.collect_list(F.struct("h", "s", "e", "p", "hot")).alias("own")))
     n_windows = some.agg(F.sum(F.col("e") - F.col("s") + 1)).first()[0] or 0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for i, (k, t) in enumerate(zip(b.column("k").to_pylist(), b.column("text").to_pylist(), strict=True)):
-                raw = t.encode()
+            for i, (k, t, text) in enumerate(zip(*[b.column(c).to_pylist() for c in ("k", "t", "text")], strict=True)):
+                raw = text.encode()
                 for o in b.column("own")[i].as_py():
-                    if not o["hot"] and o["e"] + window <= len(raw):
-                        out.append((raw[o["p"] : o["p"] + gram], o["h"], k, o["s"], o["e"] - o["s"] + 1, raw[o["s"] : o["e"] + window]))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["lead", "h", "k", "s", "n", "text"])
+                    out.append((raw[o["p"] : o["p"] + gram], o["h"], k, t, o["s"], o["e"] - o["s"] + 1, raw[o["s"] : o["e"] + window], o["hot"]))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 8
+            kinds_ = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds_, strict=True)], ["lead", "h", "k", "t", "s", "n", "text", "hot"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of a bucket come by leading bytes; whole anchors are sorted together, BUCKET_WINDOWS suffixes or so at a time."""
 
         def flush() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            n = lambda c: t.column(c).to_numpy()
-            k, s = _later(t.column("text").to_pylist(), n("k"), n("s").astype(np.int64), n("n").astype(np.int64), window)
-            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(s, pa.int32())], ["k", "s"])
+            rows_ = pa.Table.from_batches(held).combine_chunks()
+            n = lambda c: rows_.column(c).to_numpy()
+            k, t, s, e = _later(rows_.column("text").to_pylist(), n("k"), n("t"), n("s").astype(np.int64), n("n").astype(np.int64), window)
+            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(t, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["k", "t", "s", "e"])
 
         held: list[pa.RecordBatch] = []
         size = 0
@@ -126,31 +131,26 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for i, (k, t) in enumerate(zip(b.column("k").to_pylist(), b.column("text").to_pylist(), strict=True)):
-                hot = [o for o in b.column("own")[i].as_py() if o["hot"]]
-                if not hot:
-                    continue
-                values = byte_values(t.encode())
-                at = np.concatenate([np.arange(o["s"], o["e"] + 1) for o in hot])
-                at = at[at + window <= len(values)]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for k, t, s, n, text in zip(*[b.column(c).to_pylist() for c in ("k", "t", "s", "n", "text")], strict=True):
+                values, at = byte_values(text), np.arange(n)
                 for j, v in enumerate((values, mix(values))):
                     out[j].append(repeats.span_hashes(repeats.prefix_sums(v), at, at + window).view(np.int64))
-                out[2].append(np.full(len(at), k))
-                out[3].append(at)
+                out[2].append(np.full(n, k))
+                out[3].append(np.full(n, t))
+                out[4].append(at + s)
             cat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
-            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cat[:3]], pa.array(cat[3], pa.int32())], ["w1", "w2", "k", "s"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cat[:4]], pa.array(cat[4], pa.int32())], ["w1", "w2", "k", "t", "s"])
 
-    texts = tables.write(repeats.with_texts(rows, own))
-    cuts = tables.write(texts.mapInArrow(cut, "lead binary, h long, k long, s int, n int, text binary"))
+    cuts = tables.write(repeats.with_texts(rows, own).mapInArrow(cut, "lead binary, h long, k long, t long, s int, n int, text binary, hot boolean"))
     buckets = max(slots(spark), -(-n_windows // BUCKET_WINDOWS))
-    later = cuts.repartitionByRange(buckets, "lead").sortWithinPartitions("lead", "h").mapInArrow(sort, "k long, s int")
-    hot = tables.write(texts.mapInArrow(key, "w1 long, w2 long, k long, s int"))
-    first = hot.groupBy("w1", "w2").agg(F.min(F.struct("k", "s")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    across = hot.join(first, ["w1", "w2"]).where("k <> f.k OR s <> f.s").select("k", "s")
-    found = later.union(across).select("k", "s", (F.col("s") + window).alias("e"))
-    spans = tables.write(copied.union(found).distinct())
-    tables.drop(runs, kinds, own, texts, cuts, hot)
+    later = cuts.where("NOT hot").drop("hot").repartitionByRange(buckets, "lead").sortWithinPartitions("lead", "h").mapInArrow(sort, "k long, t long, s int, e int")
+    hot = tables.write(cuts.where("hot").mapInArrow(key, "w1 long, w2 long, k long, t long, s int"))
+    first = hot.groupBy("w1", "w2").agg(F.min(F.struct("k", "t", "s")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    across = hot.join(first, ["w1", "w2"]).where("k <> f.k OR t <> f.t OR s <> f.s").select("k", "t", "s", F.col("s").alias("e"))
+    found = later.union(across).select("k", "t", "s", (F.col("e") + window).alias("e"))
+    spans = tables.write(copied.union(found))
+    tables.drop(runs, kinds, own, cuts, hot)
 
     def judge(text: str, s: np.ndarray, e: np.ndarray) -> tuple:
         raw = text.encode()
