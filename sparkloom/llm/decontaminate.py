@@ -45,7 +45,7 @@ def fingerprints_sql(window: int, gram: int) -> str:
 
 
 def windows_sql(window: int) -> str:
-    return f"transform(sequence(0, size(words) - {window}), i -> named_struct('p', i, 'win', array_join(slice(words, i + 1, {window}), ' ')))"
+    return let("ws", "words", f"transform(sequence(0, size(ws) - {window}), i -> named_struct('p', i, 'win', array_join(slice(ws, i + 1, {window}), ' ')))")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -55,7 +55,12 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of ``docs`` (doc_id, text)."""
     d = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), F.xxhash64("text").alias("t"), F.col("doc_id"), F.col("text"))
-    worded = d.select("k", "t", F.expr(_words("text")).alias("words"))
+
+    def worded(rows: DataFrame, least: int) -> DataFrame:
+        """With words, at least so many; the id keeps the filter from being computed below them once more."""
+        out = rows.select("k", "t", F.expr(_words("text")).alias("words"), F.monotonically_increasing_id().alias("here"))
+        return out.where((F.size("words") >= least) & (F.col("here") >= 0)).select("k", "t", "words")
+
     b = items.select("item_id", F.expr(_words("text")).alias("words")).where("size(words) > 0")
     b = b.withColumn("n", F.least(F.size("words"), F.lit(window)))
     lengths = sorted(r[0] for r in b.select("n").distinct().collect())  # at most `window` values
@@ -67,9 +72,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         test = of.select(F.explode(F.expr(fingerprints_sql(n, k))).alias("f")).distinct()
         wins = of.select("item_id", F.explode(F.expr(windows_sql(n))).alias("e")).select("item_id", F.col("e.win").alias("win")).distinct()
         n_test, n_wins = test.count(), wins.count()
-        found = worded.where(F.size("words") >= n).select("k", "t", F.explode(F.expr(fingerprints_sql(n, k))).alias("f"))
+        found = worded(d, n).select("k", "t", F.explode(F.expr(fingerprints_sql(n, k))).alias("f"))
         found = found.join(_small(test, n_test), "f", "left_semi").select("k", "t").distinct()
-        near = worded.where(F.size("words") >= n).join(found, ["k", "t"], "left_semi")
+        near = worded(d.join(found, ["k", "t"], "left_semi"), n)
         near = near.select("k", "t", F.explode(F.expr(windows_sql(n))).alias("e")).select("k", "t", "e.p", "e.win")
         at = near.join(_small(wins.select("win").distinct(), n_wins), "win", "left_semi").select("k", "t", "win", "p", F.lit(n).alias("n"))
         ids = at.select("k", "t", "win").distinct().join(_small(wins.where("item_id IS NOT NULL"), n_wins), "win").select("k", "t", "item_id")
