@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.catalog.base import CASES, SCORED, cases, scored, table
 from sparkloom.functions import stats, text
-from sparkloom.operators import joins, sandbox, scoring
+from sparkloom.operators import cases as inputs
+from sparkloom.operators import dedup, joins, metrics, sandbox, scoring
 from sparkloom.plans import render, specs
 from sparkloom.plans.algebra import Op, ast_of, canonical_json
 
@@ -395,3 +396,76 @@ def static_checks(spark, sf_dir):
 def reference_renderer(spark, sf_dir):
     return specs.permutations(specs.atomic_table(spark), 2).select("spec_id", F.sha2(render.reference_code(), 256).alias("code_hash"))
 
+
+
+# ---- metric streams, freezes and sets
+
+@query("""WITH l AS (SELECT event_id AS step, value AS validation_loss FROM events WHERE event_id % 25 = 24), t AS (SELECT event_id AS step, value AS loss FROM events WHERE event_id % 25 <> 24 AND value IS NOT NULL)
+SELECT l.step, l.validation_loss, t.loss FROM l ASOF LEFT JOIN t ON l.step >= t.step""")
+def epoch_metrics(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    valid = F.col("event_id") % 25 == 24
+    stream = e.select(F.col("event_id").alias("step"), F.when(~valid, F.col("value")).alias("loss"), F.when(valid, F.col("value")).alias("validation_loss"), F.when(valid, "validation").alias("event"))
+    train, validation = metrics.split_stream(stream)
+    return metrics.epoch_metrics(train, validation, 64)
+
+
+@query(f"""WITH {_ATT}, r AS (SELECT layer % 2 AS variant, layer AS head, q AS step, CASE WHEN k < 3 THEN 'head' ELSE 'tail' END AS region, sum(weight) AS mass FROM w GROUP BY 1, 2, 3, 4),
+n AS (SELECT layer % 2 AS variant, count(DISTINCT (layer, q)) AS n FROM w GROUP BY 1) SELECT variant, region, round(sum(mass) / any_value(n), 6) AS mass FROM r JOIN n USING (variant) GROUP BY 1, 2""")
+def variant_regions(spark, sf_dir):
+    w = stats.causal_attention(_attention(spark, sf_dir), ["layer"]).select((F.col("layer") % 2).alias("variant"), F.col("layer").alias("head"), F.col("q").alias("step"), "k", "weight")
+    regions = spark.range(10).select(F.col("id").cast("int").alias("k"), F.expr("IF(id < 3, 'head', 'tail')").alias("region"))
+    return metrics.variant_regions(w, regions).withColumn("mass", F.round("mass", 6))
+
+
+@query("SELECT label AS model, round(avg(embedding[1]::DOUBLE), 6) AS mean, round(min(embedding[1]::DOUBLE), 6) AS least, round(max(embedding[1]::DOUBLE), 6) AS greatest, arg_max(vec_id, embedding[1]) AS best_head FROM embeddings GROUP BY 1")
+def head_report(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("model"), F.col("vec_id").alias("head"), F.col("embedding")[0].cast("double").alias("v"))
+    out = metrics.head_report(e, "model", "head", "v")
+    return out.select("model", *[F.round(c, 6).alias(c) for c in ("mean", "least", "greatest")], "best_head")
+
+
+@query(f"WITH {_ATT} SELECT layer, q, sum(weight) AS total FROM w GROUP BY 1, 2 HAVING abs(sum(weight) - 1) > 0.0001")
+def attention_rows_sum(spark, sf_dir):
+    return metrics.unnormalised(stats.causal_attention(_attention(spark, sf_dir), ["layer"]), ["layer", "q"])
+
+
+@query("SELECT lang, round(sum(CASE WHEN n_chars > 500 THEN n_chars END) / count(*) FILTER (WHERE n_chars > 500), 6) AS long_mean, round(sum(CASE WHEN source = 'src0' THEN n_chars END) / nullif(count(*) FILTER (WHERE source = 'src0'), 0), 6) AS src0_mean FROM documents GROUP BY 1")
+def conditional_means(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy("lang").agg(F.round(stats.conditional_mean("n_chars", "n_chars > 500"), 6).alias("long_mean"), F.round(stats.conditional_mean("n_chars", "source = 'src0'"), 6).alias("src0_mean"))
+
+
+@query("""SELECT * FROM (SELECT 'repeated keys' AS problem, count(*) - count(DISTINCT item_id) AS n FROM benchmark UNION ALL SELECT 'off total', abs(count(*) - 50) FROM benchmark
+UNION ALL SELECT 'categories off', count(*) FROM (SELECT item_id % 10 FROM benchmark GROUP BY 1 HAVING count(*) <> 5))""")
+def benchmark_freeze(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").withColumn("category", F.col("item_id") % 10)
+    return scoring.freeze_problems(b, "item_id", "category", 50, 5)
+
+
+@query("SELECT 'text' AS kind, count(*) AS n FROM documents WHERE doc_id % 2 = 0 AND text IN (SELECT text FROM documents WHERE doc_id % 2 = 1) UNION ALL SELECT 'source', count(*) FROM documents WHERE doc_id % 2 = 0 AND source IN (SELECT source FROM documents WHERE doc_id % 2 = 1)")
+def leakage_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    return dedup.leakage_counts(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), {"text": "h", "source": "source"})
+
+
+@query(None)
+def evaluation_sets(spark, sf_dir):
+    """Six disjoint input sets, and how many of their cases each has."""
+    sets = inputs.input_sets(spark, {f"set{i}": 100 + i for i in range(6)}, 64, set())
+    return sets.groupBy("set_name").agg(F.count("*").alias("n"), F.countDistinct(inputs.case_key()).alias("keys"))
+
+
+@query(None)
+def new_sequences(spark, sf_dir):
+    """Drawn four-step sequences that behave like no two-step spec, no one before them and no shorter part of theirs, on 177 fixed inputs."""
+    ops = list(specs.ATOMIC)
+    drawn = specs.random_sequences(20261008, 40)
+    few = spark.createDataFrame([(f"c{i:03d}", xs, k) for i, (xs, k) in enumerate(inputs.fixed_cases(3))], "case_id string, xs array<bigint>, k int")
+    rows = lambda many: spark.createDataFrame([(s, [(ops[p - 1].kind, ops[p - 1].name, ops[p - 1].arg) for p in ps]) for s, ps in many], "spec_id string, ops array<struct<kind:string,name:string,arg:int>>")
+    small = [(s, p) for s, p in ((f"d{i:03d}", p) for i, p in enumerate(drawn)) if 18 not in p]  # squares of four steps leave BIGINT
+    f = lambda many: inputs.fingerprints(inputs.execute(rows(many), few))
+    cut = [(f"{s}/{j}", p[:j] + p[j + 1 :]) for s, p in small for j in range(4)]
+    shorter = f(cut).withColumn("spec_id", F.split("spec_id", "/")[0])
+    known = f([(f"k{a}-{b}", (a, b)) for a in range(1, 25) for b in range(1, 25) if a != b])
+    return specs.behaviourally_new(f(small).withColumn("place", F.col("spec_id")), known, shorter, 20).select("spec_id", "fingerprint")

@@ -105,3 +105,35 @@ def targeted(specs: DataFrame, values: list[int], ks: list[int], forbidden: Data
 def order_witness(cases: DataFrame, ops: str, back: str) -> DataFrame:
     """The first case (by case_id) on which a sequence and its reverse differ. cases carry both as columns of operations."""
     return cases.where(~interpret_ops(ops).eqNullSafe(interpret_ops(back))).orderBy("case_id").limit(1)
+
+
+def fixed_cases(seed: int, count: int = 128) -> list[tuple[list[int], int]]:
+    """Boundary inputs, ``count`` random ones, and four patterns at each k: the set that a benchmark is scored on."""
+    rng = random.Random(seed)
+    out = boundary_cases() + [([rng.randint(-MAX_ABS, MAX_ABS) for _ in range(rng.randint(0, MAX_LENGTH))], rng.randint(1, MAX_K)) for _ in range(count)]
+    for k in range(1, MAX_K + 1):
+        out += [(list(range(-k, k + 1))[:MAX_LENGTH], k), ([k] * k, k), ([-k, 0, k, 2 * k, 3 * k], k), (list(range(MAX_LENGTH, 0, -1)), k)]
+    return out
+
+
+def with_witnesses(cases: DataFrame, witnesses: DataFrame) -> DataFrame:
+    """Cases and those witnesses whose (xs, k) they lack; both (case_id, xs, k)."""
+    return cases.unionByName(unseen(witnesses.dropDuplicates(["xs", "k"]), cases))
+
+
+def input_sets(spark: SparkSession, seeds: dict[str, int], count: int, excluded: set[str]) -> DataFrame:
+    """Named random sets (set_name, case), each without the keys of the excluded inputs and of the sets before it."""
+    out, taken = None, set(excluded)
+    for name, seed in seeds.items():
+        one = random_cases(spark, name, seed, count, taken)
+        taken |= {r["key"] for r in one.select(case_key().alias("key")).collect()}
+        one = one.withColumn("set_name", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no set is named")
+    return out
+
+
+def set_overlaps(sets: DataFrame) -> DataFrame:
+    """Inputs that several sets have."""
+    return sets.groupBy(case_key().alias("key")).agg(F.countDistinct("set_name").alias("n")).where("n > 1")

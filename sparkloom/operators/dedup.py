@@ -116,3 +116,12 @@ def spec_quota_audit(rows: DataFrame, spec: str, quota: int, code: str, code_has
     off = rows.groupBy(spec).agg(F.count("*").alias("c")).where(F.col("c") != quota).agg(F.count("*").alias("n")).select(F.lit("off quota").alias("problem"), "n")
     bad = rows.where(~F.col(code_hash).eqNullSafe(sha(code))).agg(F.count("*").alias("n")).select(F.lit("hash differs").alias("problem"), "n")
     return off.union(bad)
+
+
+def leakage_counts(benchmark: DataFrame, train: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """(kind, n): benchmark rows whose key of each kind, a column name, some training row has."""
+    out = None
+    for kind, key in keys.items():
+        one = benchmark.join(train.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+        out = one if out is None else out.union(one)
+    return out

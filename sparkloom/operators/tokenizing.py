@@ -121,3 +121,14 @@ def usage(ids: DataFrame, column: str, top: int) -> DataFrame:
 
 def lengths(ids: DataFrame, column: str) -> DataFrame:
     return length_summary(ids.select(F.size(column).alias("n_tokens")), "n_tokens")
+
+
+def vocabulary_problem(vocabulary: dict[str, int], special: list[str], size: int) -> str | None:
+    """Why a vocabulary isn't as declared: its size, ids without a gap, special tokens first and in order."""
+    if len(vocabulary) != size:
+        return f"{len(vocabulary)} tokens instead of {size}"
+    if sorted(vocabulary.values()) != list(range(size)):
+        return "ids with gaps"
+    if [vocabulary.get(s) for s in special] != list(range(len(special))):
+        return "special tokens elsewhere"
+    return None

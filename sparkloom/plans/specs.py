@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -121,6 +123,20 @@ def duplicates(rows: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def random_sequences(seed: int, draws: int, length: int = 4) -> list[tuple[int, ...]]:
+    """Seeded draws of different atomic positions, repeats left out, in the order drawn. A few thousand; the seed fixes them."""
+    rng = random.Random(seed)
+    return list(dict.fromkeys(tuple(rng.sample(range(1, len(ATOMIC) + 1), length)) for _ in range(draws)))
+
+
+def behaviourally_new(candidates: DataFrame, known: DataFrame, shorter: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` candidates (place, spec_id, fingerprint) that behave like no known spec, none before them, and none of their own
+    sequences with a step left out (``shorter``: spec_id, fingerprint)."""
+    new = candidates.join(known.select("fingerprint"), "fingerprint", "left_anti").join(shorter.select("spec_id", "fingerprint"), ["spec_id", "fingerprint"], "left_anti")
+    first = new.groupBy("fingerprint").agg(F.min(F.struct("place", "spec_id")).alias("c")).select("c.*", "fingerprint")
+    return first.orderBy("place").limit(most)
+
+
 def inconsistent(subset: DataFrame, source: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Keys of the subset that the source lacks or has with other values (null-safe)."""
     s = source.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns])
