@@ -128,7 +128,7 @@ def shard_commits(spark, sf_dir):
     return scoring.shard_commits(table(spark, sf_dir, "events").select("event_id"), "event_id", 128)
 
 
-@query(f"WITH {SCORED} SELECT question, count(*) AS n, count(DISTINCT candidate) AS d, min(candidate) AS lo, max(candidate) AS hi FROM scored GROUP BY 1 HAVING NOT (count(*) = 5 AND count(DISTINCT candidate) = 5 AND min(candidate) = 1 AND max(candidate) = 5)")
+@query(f"WITH {SCORED} SELECT question, count(*) AS n, count(DISTINCT candidate) AS d, min(candidate)::INT AS lo, max(candidate)::INT AS hi FROM scored GROUP BY 1 HAVING NOT (count(*) = 5 AND count(DISTINCT candidate) = 5 AND min(candidate) = 1 AND max(candidate) = 5)")
 def candidate_layout(spark, sf_dir):
     return scoring.candidates_problem(scored(spark, sf_dir), ["question"], "candidate", 5)
 
