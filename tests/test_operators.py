@@ -213,3 +213,48 @@ def test_reports(spark):
     d = spark.createDataFrame([(1, "a|b", 1234567)], "i int, t string, n int")
     assert reports.markdown(d, ["t", "n"], ["i"]).splitlines()[2] == "| a\\|b | 1,234,567 |"
     assert dedup.collisions(spark.createDataFrame([("h", "a"), ("h", "b"), ("g", "c")], "h string, t string"), "t", "h").count() == 1
+
+
+def test_case_sets(spark):
+    fixed = cases.fixed_cases(3)
+    assert len(fixed) == 177 and all(len(xs) <= 20 and 1 <= k <= 10 and all(abs(x) <= 100 for x in xs) for xs, k in fixed)
+    a = spark.createDataFrame([("c1", [1], 1)], "case_id string, xs array<bigint>, k int")
+    b = spark.createDataFrame([("w1", [1], 1), ("w2", [2], 1), ("w3", [2], 1)], "case_id string, xs array<bigint>, k int")
+    assert cases.with_witnesses(a, b).count() == 2
+    sets = cases.input_sets(spark, {"a": 1, "b": 1}, 12, set())
+    assert sets.count() == 24 and cases.set_overlaps(sets).count() == 0
+    ops = ops_literal([Op("map", "abs"), Op("order", "ascending")])
+    back = ops_literal([Op("order", "ascending"), Op("map", "abs")])
+    both = spark.createDataFrame([("c1", [1, 2], 1), ("c2", [-3, 1], 1)], "case_id string, xs array<bigint>, k int").selectExpr("*", f"{ops} AS p", f"{back} AS q")
+    assert cases.order_witness(both, "p", "q").first()["case_id"] == "c2"
+
+
+def test_metrics(spark):
+    from sparkloom.operators import metrics
+
+    assert metrics.ticks(100) == [0, 20, 40, 60, 80, 100] and metrics.ticks(7) == list(range(8)) and len(metrics.ticks(123_456)) <= 9
+    bad = spark.createDataFrame([(1, None, None, None)], "step int, loss double, validation_loss double, event string")
+    with pytest.raises(Exception, match="neither"):
+        metrics.split_stream(bad)[0].collect()
+    assert tokenizing.vocabulary_problem({"<s>": 0, "a": 1}, ["<s>"], 2) is None
+    assert tokenizing.vocabulary_problem({"<s>": 1, "a": 0}, ["<s>"], 2) == "special tokens elsewhere"
+    f = {r["problem"]: r["n"] for r in scoring.freeze_problems(spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "q int, c string"), "q", "c", 3, 2).collect()}
+    assert f == {"repeated keys": 1, "off total": 0, "categories off": 1}
+
+
+def test_as_of_by_bucket_is_as_of(spark):
+    rng = random.Random(4)
+    left = spark.createDataFrame([(rng.randint(0, 500), i, 1) for i in range(80)], "t int, id int, g int")
+    right = spark.createDataFrame([(rng.randint(50, 500), rng.random(), 1) for i in range(20)], "t int, v double, g int")
+    a = joins.as_of(left, right, ["g"], "t", "v").select("id", "v")
+    b = joins.as_of_bucketed(left, right.select("t", "v"), "t", "v", F.floor(F.col("t") / 60)).select("id", "v")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()), key=lambda x: x) if all(r["v"] is not None for r in a.collect()) else {tuple(r) for r in a.collect()} == {tuple(r) for r in b.collect()}
+
+
+def test_intervals(spark):
+    rng = random.Random(2)
+    make = lambda n: [(i, lo := rng.randint(0, 300), lo + rng.randint(0, 90)) for i in range(n)]
+    p, q = make(40), make(30)
+    a, b = spark.createDataFrame(p, "a int, lo int, hi int"), spark.createDataFrame(q, "b int, lo2 int, hi2 int")
+    got = sorted((r["a"], r["b"]) for r in joins.interval_join(a, b, [], "lo", "hi", "lo2", "hi2", 16).collect())
+    assert got == sorted((i, j) for i, x, y in p for j, u, v in q if x < v and u < y and y > x and v > u)
