@@ -159,6 +159,6 @@ def hidden_case_counts(bound: DataFrame, record: str, least: int) -> DataFrame:
 def freeze_problems(questions: DataFrame, key: str, category: str, total: int, each: int) -> DataFrame:
     """(problem, n) of a benchmark to be frozen: keys not unique, not ``total`` questions, categories without ``each``."""
     n = questions.agg(F.count("*").alias("rows"), F.countDistinct(key).alias("keys"))
-    off = questions.groupBy(category).agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") != each).alias("off"))
+    off = questions.groupBy(category).agg(F.count("*").alias("_rows")).agg(F.count_if(F.col("_rows") != each).alias("off"))
     parts = [n.select(F.lit("repeated keys").alias("problem"), (F.col("rows") - F.col("keys")).alias("n")), n.select(F.lit("off total"), F.abs(F.col("rows") - total)), off.select(F.lit("categories off"), "off")]
     return parts[0].union(parts[1]).union(parts[2])
