@@ -175,9 +175,9 @@ def weighted_loss_perplexity(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(loss, 9).alias("loss"), F.round(stats.perplexity(loss), 9).alias("perplexity"))
 
 
-@query("SELECT step, round(CASE WHEN step < 10 THEN 0.001 * (step + 1) / 10.0 ELSE 0.0001 + (0.001 - 0.0001) * 0.5 * (1 + cos(pi() * least(1.0, (step - 10) / 190.0))) END, 12) AS rate FROM range(0, 201) t(step)")
+@query("SELECT step, round(CASE WHEN step <= 10 THEN 0.001 * step / 10.0 ELSE 0.0001 + (0.001 - 0.0001) * 0.5 * (1 + cos(pi() * least(1.0, (step - 10) / 190.0))) END, 12) AS rate FROM range(1, 201) t(step)")
 def lr_schedule(spark, sf_dir):
-    return spark.range(0, 201).select(F.col("id").alias("step"), F.round(stats.learning_rate(F.col("id"), 200, 10, 0.001, 0.0001), 12).alias("rate"))
+    return spark.range(1, 201).select(F.col("id").alias("step"), F.round(stats.learning_rate(F.col("id"), 200, 10, 0.001, 0.0001), 12).alias("rate"))
 
 
 @query("""WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1 + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY l_returnflag ORDER BY l_discount) - 1 + (count(*) OVER (PARTITION BY l_returnflag, l_discount) - 1) / 2.0::DOUBLE AS y FROM lineitem)
@@ -298,7 +298,7 @@ def cnl_round_trip(spark, sf_dir):
 
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '1,11' WHEN 1 THEN '20,22' WHEN 2 THEN '22' END AS ids, CASE doc_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 7 END::BIGINT AS k, CASE doc_id % 5 WHEN 3 THEN 'unknown step: 消す' WHEN 4 THEN 'different numbers' END AS error FROM documents")
 def plan_parse(spark, sf_dir):
-    plans = ["1. 偶数だけを残す\n2) 各要素にkを加える\nk = 3", "- **降順に並べる**\n- 先頭から4個を取る", "手順：先頭から７個を取る。", "降順に並べる、消す", "各要素に2を加える→各要素に3を掛ける"]
+    plans = ["1. 偶数だけを残す\n2) 各要素にkを加える\nk = 3", "- **値を降順に並べる**\n- 先頭から4個を取る", "手順：先頭から７個を取る。", "値を降順に並べる、消す", "各要素に2を加える→各要素に3を掛ける"]
     d = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*[F.lit(p) for p in plans]), (F.col("doc_id") % 5 + 1).cast("int")).alias("t"))
     phrases = text.phrase_table(spark).select("phrase", "id", "uses_k")
     out = text.parse_plans(d, "doc_id", "t", phrases)

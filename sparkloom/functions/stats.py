@@ -31,9 +31,10 @@ def perplexity(loss: Column) -> Column:
 
 
 def learning_rate(step: Column, total: int, warmup: int, top: float, bottom: float) -> Column:
-    """Linear warm-up to ``top``, then a half cosine to ``bottom``; steps from 0."""
+    """Of steps from 1: linear to ``top`` at the last warm-up step, then a half cosine to ``bottom``."""
     x = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (step - warmup) / F.lit(float(max(1, total - warmup)))))
-    return F.when(step < warmup, top * (step + 1) / F.lit(float(max(1, warmup)))).otherwise(bottom + (top - bottom) * 0.5 * (1 + F.cos(F.pi() * x)))
+    cosine = bottom + (top - bottom) * 0.5 * (1 + F.cos(F.pi() * x))
+    return F.when(step <= warmup, top * step / F.lit(float(warmup))).otherwise(cosine) if warmup > 0 else cosine
 
 
 def interval_means(rows: DataFrame, step: str, every: int, group: list[str], **means: str) -> DataFrame:

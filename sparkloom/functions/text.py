@@ -16,17 +16,17 @@ from pyspark.sql import functions as F
 from sparkloom.plans.algebra import ATOMIC, MAX_STEPS, canonical_json
 
 # The sentence's frame.
-WITH_K, WITHOUT_K, TAIL, COMMA = "整数リストxsと整数kを受け取り、", "整数リストxsから、", "関数を書いてください。", "、"
+WITH_K, WITHOUT_K, TAIL, COMMA = "整数リストxsと整数kを受け取り、", "整数リストxsから", "solve関数を書いてください。", "、"
 # Final and connective phrase of the operations, in the order of ATOMIC.
 PHRASES = [
-    ("偶数だけを残す", "偶数だけを残して"), ("奇数だけを残す", "奇数だけを残して"), ("kより大きい値だけを残す", "kより大きい値だけを残して"),
-    ("k以上の値だけを残す", "k以上の値だけを残して"), ("kより小さい値だけを残す", "kより小さい値だけを残して"), ("k以下の値だけを残す", "k以下の値だけを残して"),
-    ("kの倍数だけを残す", "kの倍数だけを残して"), ("正の値だけを残す", "正の値だけを残して"), ("負の値だけを残す", "負の値だけを残して"),
-    ("ゼロだけを残す", "ゼロだけを残して"), ("各要素にkを加える", "各要素にkを加えて"), ("各要素からkを引く", "各要素からkを引いて"),
-    ("各要素にkを掛ける", "各要素にkを掛けて"), ("各要素を2倍する", "各要素を2倍して"), ("各要素を3倍する", "各要素を3倍して"),
-    ("各要素の符号を反転する", "各要素の符号を反転して"), ("各要素の絶対値を取る", "各要素の絶対値を取って"), ("各要素を二乗する", "各要素を二乗して"),
-    ("昇順に並べる", "昇順に並べて"), ("降順に並べる", "降順に並べて"), ("要素の順序を逆にする", "要素の順序を逆にして"),
-    ("先頭からk個を取る", "先頭からk個を取って"), ("末尾からk個を取る", "末尾からk個を取って"), ("先頭から1個おきに取る", "先頭から1個おきに取って"),
+    ("偶数だけを残す", "偶数だけを残し"), ("奇数だけを残す", "奇数だけを残し"), ("kより大きい値だけを残す", "kより大きい値だけを残し"),
+    ("k以上の値だけを残す", "k以上の値だけを残し"), ("kより小さい値だけを残す", "kより小さい値だけを残し"), ("k以下の値だけを残す", "k以下の値だけを残し"),
+    ("kの倍数だけを残す", "kの倍数だけを残し"), ("正の値だけを残す", "正の値だけを残し"), ("負の値だけを残す", "負の値だけを残し"),
+    ("ゼロだけを残す", "ゼロだけを残し"), ("各要素にkを加える", "各要素にkを加え"), ("各要素からkを引く", "各要素からkを引き"),
+    ("各要素にkを掛ける", "各要素にkを掛け"), ("各要素を2倍する", "各要素を2倍し"), ("各要素を3倍する", "各要素を3倍し"),
+    ("各要素の符号を反転する", "各要素の符号を反転し"), ("各要素の絶対値を取る", "各要素の絶対値を取り"), ("各要素を二乗する", "各要素を二乗し"),
+    ("値を昇順に並べる", "値を昇順に並べ"), ("値を降順に並べる", "値を降順に並べ"), ("現在の要素順を反転する", "現在の要素順を反転し"),
+    ("先頭からk個を取る", "先頭からk個を取り"), ("末尾からk個を取る", "末尾からk個を取り"), ("先頭から1個おきに取る", "先頭から1個おきに取り"),
 ]
 
 

@@ -140,7 +140,7 @@ def model_class(name: str) -> dict[str, Column]:
     return {
         "millions": F.regexp_extract(c, r"(?:^|[_-])(\d+)m(?:[_-]|$)", 1).try_cast("int"),
         "epochs": F.regexp_extract(c, r"(\d+)epoch", 1).try_cast("int"),
-        "family": F.when(c.rlike("(?i)looped|middle"), "looped").when(c.rlike("(?i)ablation|no_"), "ablation").when(c.rlike("(?i)qwen|external"), "external").otherwise("standard"),
+        "family": F.when(c.rlike("(?i)looped|middle"), "looped").when(c.rlike("(?i)ablation|no_"), "ablation").when(c.rlike("(?i)external"), "external").otherwise("standard"),
     }
 
 
