@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import ASCII_LOWER, NULL_ID, let, words_sql
+from sparkloom.llm.common import ASCII_LOWER, NULL_ID, Tables, let, words_sql
 
 WINDOW, GRAM = 10, 5
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -65,6 +65,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     b = b.withColumn("n", F.least(F.size("words"), F.lit(window)))
     lengths = sorted(r[0] for r in b.select("n").distinct().collect())  # at most `window` values
 
+    tables = Tables(docs.sparkSession, "decontaminate")
     candidates = hits = None
     for n in lengths:
         of = b.where(F.col("n") == n)
@@ -76,7 +77,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         found = found.join(_small(test, n_test), "f", "left_semi").select("k", "t").distinct()
         near = worded(d.join(found, ["k", "t"], "left_semi"), n)
         near = near.select("k", "t", F.explode(F.expr(windows_sql(n))).alias("e")).select("k", "t", "e.p", "e.win")
-        at = near.join(_small(wins.select("win").distinct(), n_wins), "win", "left_semi").select("k", "t", "win", "p", F.lit(n).alias("n"))
+        # Read twice below; written, the texts are joined with their hits once.
+        at = tables.write(near.join(_small(wins.select("win").distinct(), n_wins), "win", "left_semi").select("k", "t", "win", "p", F.lit(n).alias("n")))
         ids = at.select("k", "t", "win").distinct().join(_small(wins.where("item_id IS NOT NULL"), n_wins), "win").select("k", "t", "item_id")
         hits = at if hits is None else hits.union(at)
         candidates = ids if candidates is None else candidates.union(ids)
