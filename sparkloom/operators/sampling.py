@@ -28,7 +28,7 @@ def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def micro_batches(rows: DataFrame, order: list[str], size: int, group: list[str] | None = None) -> DataFrame:
-    """Adds ``batch``: consecutive rows of a group in batches of ``size``."""
+    """Adds ``batch``: consecutive rows of a group in batches of ``size``. Without a group all rows are ordered in one task: for small tables."""
     w = W.partitionBy(*(group or [])).orderBy(*order) if group else W.orderBy(*order)
     return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
 

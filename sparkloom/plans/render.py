@@ -15,7 +15,7 @@ from sparkloom.functions.hashing import joined_sha, sha, style_id
 from sparkloom.plans.algebra import ATOMIC, Op, canonical_json
 
 HEAD = "def solve(xs: list[int], k: int) -> list[int]:\n"
-#: Conditions of filters with the element left, and right, of the comparison.
+# Texts of conditions with the element left, and right, of the comparison; of values; of whole expressions.
 CONDITIONS = {
     "even": ("{e} % 2 == 0", "0 == {e} % 2"), "odd": ("{e} % 2 != 0", "0 != {e} % 2"), "gt_k": ("{e} > k", "k < {e}"), "ge_k": ("{e} >= k", "k <= {e}"),
     "lt_k": ("{e} < k", "k > {e}"), "le_k": ("{e} <= k", "k >= {e}"), "multiple_of_k": ("{e} % k == 0", "0 == {e} % k"),
