@@ -119,6 +119,13 @@ def maybe_in(field: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (field.view(np.uint64)[(m >> np.uint64(6)).astype(np.int64)] >> (m & np.uint64(63))) & np.uint64(1) == 1
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: what a worker makes of a batch is bounded, whatever the session's batch size."""
+    for b in batches:
+        for at in range(0, max(1, b.num_rows), rows):
+            yield b.slice(at, rows)
+
+
 def let_through(df: DataFrame, column: str, field: np.ndarray) -> DataFrame:
     """The rows of ``df`` whose ``column`` (long) a ``bloom`` lets through."""
     sent = df.sparkSession.sparkContext.broadcast(field)
