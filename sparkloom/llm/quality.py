@@ -10,18 +10,19 @@ Texts of any length are read whole; the work is linear, or n log n in the repeat
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import SPACE, let, words_sql
+from sparkloom.llm.common import SPACE, Tables, let, words_sql
 
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
-#: Rows at most on which costs and selectivities are measured.
-SAMPLE_ROWS = 1000
+#: Rows at most, of so many bytes at most, on which costs and selectivities are measured.
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 1 << 16
 
 
 def _repeat_words() -> str:
@@ -35,30 +36,37 @@ def _repeat_words() -> str:
     return let("g", "transform(words, x -> xxhash64(x))", let("v", windows, f"IF(size(array_distinct(v)) = size(v), 0, {found})"))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """The row's columns as ``row`` and the measures that rules read; ``docs`` needs a column text."""
+#: SQL of the measures that rules read, over text, words and lines.
+MEASURES = {
+    "n_words": "cast(size(words) as bigint)",
+    "word_chars": "cast(length(text) - regexp_count(text, '[\\\\x20\\\\x09-\\\\x0D]') as bigint)",
+    "n_symbols": "cast(regexp_count(text, '[#*$%&|<>]') as bigint)",
+    "n_dup_lines": "cast(size(lines) - size(array_distinct(lines)) as bigint)",
+    "n_lines": "cast(size(lines) as bigint)",
+    "n_repeat_words": f"cast({_repeat_words()} as bigint)",
+}
+
+
+def _parts(docs: DataFrame) -> DataFrame:
+    """The row's columns as ``row``, its text, words and lines.
+
+    ``here`` isn't deterministic, so no filter above is computed below it once more.
+    """
     lines = "filter(split(coalesce(text, ''), '\\n'), l -> l RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"
-    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    base = base.withColumn("words", F.expr(words_sql("text", SPACE))).withColumn("lines", F.expr(lines))
-    return base.select(
-        "row",
-        "text",
-        F.size("words").cast("long").alias("n_words"),
-        (F.length("text") - F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.expr(_repeat_words()).cast("long").alias("n_repeat_words"),
-        "words",
-    )
+    base = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    return base.select("row", "text", F.expr(words_sql("text", SPACE)).alias("words"), F.expr(lines).alias("lines"), F.monotonically_increasing_id().alias("here"))
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """``row``, text, words and every measure of each row; ``docs`` needs a column text."""
+    return _parts(docs).select("row", "text", "words", "here", *[F.expr(e).alias(m) for m, e in MEASURES.items()])
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
+    #: SQL over text, words and MEASURES.
     rejects: str
-    #: Measures of ``features`` that it reads besides text and words.
-    reads: tuple[str, ...] = ()
 
 
 BASE_RULES = (
@@ -72,13 +80,21 @@ RULES = (
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
     Rule("capitals", "2 * regexp_count(text, '\\\\p{Lu}') > regexp_count(text, '\\\\p{L}')"),
     Rule("exclamations", "2 * regexp_count(text, '!') > n_words"),
-    Rule("stutter", "4 * size(filter(words, (w, i) -> coalesce(w = get(words, i - 1), false))) > n_words"),
+    # In a lambda only lambda variables: a column could be replaced by what it is computed from, once an element.
+    Rule("stutter", "4 * " + let("ws", "words", "size(filter(ws, (w, i) -> coalesce(w = get(ws, i - 1), false)))") + " > n_words"),
 )
 
 
 def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per second on the first ``sample_rows`` rows, best first; ties by name."""
-    sample = features(docs.select("text").limit(sample_rows)).drop("row")
+    """The rules by rejections per second on the first ``sample_rows`` rows of a usual length, best first; ties by name.
+
+    The sample is taken from the first partitions that have it and written once.
+    """
+    spark = docs.sparkSession
+    tables = Tables(spark, "quality")
+    taken = docs.select("text").where(f"octet_length(text) <= {SAMPLE_BYTES}").take(sample_rows)
+    written = tables.write(spark.createDataFrame([(r["text"],) for r in taken], "text string"))
+    sample = features(written).drop("row")
     scored = []
     for rule in rules:
         best = None
@@ -87,6 +103,7 @@ def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SA
             rejected = sample.agg(F.count_if(F.expr(rule.rejects))).first()[0]
             best = min(best or 1e9, time.perf_counter() - began)
         scored.append((-(rejected + 1) / best, rule.name, rule))
+    tables.drop(written)
     return [r for _, _, r in sorted(scored, key=lambda x: x[:2])]
 
 
@@ -110,9 +127,17 @@ def score(docs: DataFrame, order: list[Rule] | None = None) -> DataFrame:
 
 
 def keep(docs: DataFrame, order: list[Rule] | None = None) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, with all their columns."""
-    order = plan(docs) if order is None else order
-    return features(docs).where(rejected_by([*BASE_RULES, *order]).isNull()).select("row.*")
+    """The rows of ``docs`` that no rule rejects, with all their columns.
+
+    A measure is computed inside the rule that reads it, so a document pays for the rules up to the one that rejects it only.
+    """
+    order = plan(docs, BASE_RULES + RULES) if order is None else [*BASE_RULES, *order]
+    verdict = " ".join(f"WHEN {_inlined(r.rejects)} THEN false" for r in order)
+    return _parts(docs).where(f"here >= 0 AND CASE {verdict} ELSE true END").select("row.*")
+
+
+def _inlined(predicate: str) -> str:
+    return re.sub(r"\b(" + "|".join(MEASURES) + r")\b", lambda m: MEASURES[m[0]], predicate)
 
 
 ORACLE = r"""

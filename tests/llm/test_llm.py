@@ -14,7 +14,7 @@ from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns with names that operators use themselves.
-CLASH = ["k", "t", "h", "x", "n", "s", "e", "words", "row", "here", "b", "comp", "own", "base", "held_out"]
+CLASH = ["k", "t", "h", "x", "n", "s", "e", "words", "row", "here", "b", "comp", "own", "base", "held_out", "bad_id", "kept_id", "a.b", "text_hash"]
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 
 
