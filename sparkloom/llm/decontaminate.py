@@ -101,7 +101,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The rows of ``docs`` in which no item window occurs, with all their columns."""
     bad = decontaminate(docs, items, window, gram).where("contaminated").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("bad_id")).distinct()
-    return docs.join(bad, F.coalesce(docs["doc_id"], F.lit(NULL_ID)) == F.col("bad_id"), "left_anti")
+    return docs.join(bad, F.coalesce(docs["doc_id"], F.lit(NULL_ID)) == bad["bad_id"], "left_anti")
 
 
 ORACLE = r"""

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import slices
+
 BUCKETS_LOG2 = 15
 BUCKETS = 1 << BUCKETS_LOG2
 SMOOTHING, PENALTY, ROUNDS, LEAST_SHARE = 0.5, 4.0, 12, 0.05
@@ -92,7 +94,7 @@ def learn(docs: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches):
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 if lang not in counts:
                     counts[lang] = np.zeros(BUCKETS, np.int64)
@@ -117,7 +119,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             said = [sent.value.infer(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

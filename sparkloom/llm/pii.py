@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import Tables
+from sparkloom.llm.common import Tables, slices
 
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("secret",)
@@ -154,7 +154,7 @@ def detect(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("votes", pa.string()), ("x", pa.list_(pa.float64()))]))
-        for b in batches:
+        for b in slices(batches):
             bases, counts, found = [], {k: [] for k in KINDS}, []
             for text in b.column("text").to_pylist():
                 text = text or ""
@@ -229,7 +229,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     model = train(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             hashes, spans = [], []
             for base, cands in zip(b.column("base").to_pylist(), b.column("cands").to_pylist(), strict=True):
                 hashes.append(sha256(base.encode()).hexdigest())
@@ -249,7 +249,7 @@ def redact(docs: DataFrame) -> DataFrame:
     tables.drop(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at, out = b.schema.get_field_index("text"), []
             for text in b.column(at).to_pylist():
                 base = base_spans(text or "")

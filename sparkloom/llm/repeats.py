@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NULL_ID, Tables, bloom, let_through, maybe_in
+from sparkloom.llm.common import NULL_ID, Tables, bloom, let_through, maybe_in, slices
 from sparkloom.llm.jaccard import mix, powers
 
 #: Gives a text's symbols, as uint64, from its UTF-8.
@@ -83,7 +83,7 @@ def contexts(docs: DataFrame, symbols: Symbols, length: int, gram: int, tables:
     spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [runs(prefix_sums(symbols(t.encode())), length, gram)[0] for t in b.column("text").to_pylist()]
             h, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), [])
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c, pa.int64())], ["h", "c"])
@@ -92,7 +92,7 @@ def contexts(docs: DataFrame, symbols: Symbols, length: int, gram: int, tables:
     field = spark.sparkContext.broadcast(bloom(repeated, "h"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[list[np.ndarray]] = [[] for _ in range(7)]
             for k, t, text in zip(*[b.column(c).to_pylist() for c in ("k", "t", "text")], strict=True):
                 sums = prefix_sums(symbols(text.encode()))
@@ -136,14 +136,14 @@ def finish(docs: DataFrame, spans: DataFrame, judge: Callable[[str, np.ndarray,
         return pa.RecordBatch.from_arrays([b.column("k"), b.column("t"), pa.array(text, pa.string()), *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[3:], strict=True)]], schema=schema)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             maybe = maybe_in(field.value, b.column("k").to_numpy(zero_copy_only=False))
             texts = b.column("text").to_pylist()
             said = [(None,) * len(names) if m else judge(t, none, none) for m, t in zip(maybe, texts, strict=True)]
             yield table(b, [t if m else None for m, t in zip(maybe, texts, strict=True)], said)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, before = b.column("text").to_pylist(), [b.column(n).to_pylist() for n in names]
             spans_, said = b.column("spans"), []
             for i, t in enumerate(texts):

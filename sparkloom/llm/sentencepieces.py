@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from sparkloom.llm.common import slices
+
 SPACE = "▁"
 #: Chunks, of at most so many characters each, that a worker keeps: some 100 MB.
 TABLE_CHUNKS, TABLE_CHARS = 600_000, 64
@@ -39,6 +41,7 @@ class Vocabulary:
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
         n = lib.get_piece_size()
         self.pieces = [lib.id_to_piece(i) for i in range(n)]
+        self.names = [str(i) for i in range(n)]
         self.bytes = {i: int(self.pieces[i][3:5], 16) for i in range(n) if lib.is_byte(i)}
         self.byte_id = {v: k for k, v in self.bytes.items()}
         plain = [i for i in range(n) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))]
@@ -53,11 +56,10 @@ class Vocabulary:
     def encode(self, chunk: str) -> list[int]:
         """Ids of a chunk in which spaces are U+2581."""
         whole = self._scan(chunk) if len(chunk) <= SHORT else self._heap(chunk)
-        out: list[int] = []
-        for s in whole:
-            if s:
-                i = self.id.get(s)
-                out.extend([i] if i is not None else [self.byte_id[b] for b in s.encode()])
+        known = self.id.get
+        out = [known(s) for s in whole if s]
+        if None in out:  # characters outside the vocabulary become bytes
+            out = [i for s in whole if s for i in ([known(s)] if s in self.id else [self.byte_id[b] for b in s.encode()])]
         return out
 
     def _scan(self, chunk: str) -> list[str]:
@@ -122,14 +124,15 @@ class Vocabulary:
         plain = [c[1:].replace(SPACE, " ") for c in chunks]
         theirs = self.library.encode(plain, num_threads=1)
         texts = self.library.decode(theirs)
-        wrong = 0
+        wrong, pieces, names = 0, self.pieces, self.names
         for c, flat, ids, text in zip(chunks, plain, theirs, texts, strict=True):
             own = self.encode(c)
-            said = self.surface(own)[1:]
+            # Pieces that spell the chunk decode to it; with byte pieces they don't.
+            said = flat if "".join([pieces[i] for i in own]) == c else self.surface(own)[1:]
             # A lone space ends a text; the library has no text that is this chunk only.
             if (own != ids or said != text) and c != SPACE:
                 wrong, own, said = wrong + 1, ids, text
-            self.table[c] = " ".join(map(str, own))
+            self.table[c] = " ".join([names[i] for i in own])
             if said != flat:
                 self.odd[c] = said
         return wrong
@@ -187,7 +190,7 @@ def encode_decode(docs: DataFrame, path: str, texts: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in batches:
+        for b in slices(batches):
             rows = b.column("text").to_pylist()
             for lo, hi in _calls(rows):
                 ids, said, wrong = v.run(rows[lo:hi])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import repeats
-from sparkloom.llm.common import Tables
+from sparkloom.llm.common import Tables, slices
 from sparkloom.llm.jaccard import word_hashes
 
 WINDOW, GRAM = 35, 8
@@ -38,7 +38,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool =
     copied = runs.join(kinds.where("n > 1").select("h", "x"), ["h", "x"], "left_semi")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ks, ts, hs, starts, times = [], [], [], [], []
             for i, (k, t, text) in enumerate(zip(*[b.column(c).to_pylist() for c in ("k", "t", "text")], strict=True)):
                 sums = repeats.prefix_sums(word_hashes(text.encode()))

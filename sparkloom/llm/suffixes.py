@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import repeats
-from sparkloom.llm.common import Tables, slots
+from sparkloom.llm.common import Tables, slices, slots
 from sparkloom.llm.jaccard import mix
 
 WINDOW, GRAM = 100, 32
@@ -95,7 +95,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     n_windows = some.agg(F.sum(F.col("e") - F.col("s") + 1)).first()[0] or 0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for i, (k, t, text) in enumerate(zip(*[b.column(c).to_pylist() for c in ("k", "t", "text")], strict=True)):
                 raw = text.encode()
@@ -130,7 +130,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
             yield flush()
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             for k, t, s, n, text in zip(*[b.column(c).to_pylist() for c in ("k", "t", "s", "n", "text")], strict=True):
                 values, at = byte_values(text), np.arange(n)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import slices
+
 PIECE_CHARS, CALL_BYTES = 1 << 15, 1 << 19
 _SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
@@ -71,7 +73,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of ``docs`` (doc_id, text), with the tokenizer file at ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n = pa.array(count_batch(b.column("text").to_pylist(), path), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), n], ["doc_id", "n_bytes", "n_tokens"])
 
