@@ -4,8 +4,9 @@
    secrets, and lets regex, gazetteer and context labelers vote on every candidate (1 yes, 0 abstain, -1 no).
 2. The votes of the whole table are counted by kind and pattern of votes; the counts, at most 3**6 a kind, go to the driver,
    where EM fits each labeler's accuracy and the share of true candidates (a one-coin model per kind).
-3. A logistic classifier over shape and context features is fitted to EM's probabilities on ``SAMPLE`` candidates at most, those
-   of the least hash of (doc_id, span), and scores all candidates. Those at ``THRESHOLD`` or more become spans, unless they touch a base one.
+3. A logistic classifier over shape and context features is fitted to EM's probabilities on ``SAMPLE`` candidates of a kind at most,
+   those of the least hash of (doc_id, span), and scores all candidates. Those at ``THRESHOLD`` or more become spans, unless they
+   touch a base one. Each kind has its own sample, so a frequent kind takes none of a rare one's places.
 
 Base spans always stay. Texts are scanned whole, in linear time. What is written between the steps holds spans and votes, no
 text. Null or empty text: no spans. Repeated rows are handled alike, each by itself.
@@ -28,7 +29,7 @@ from sparkloom.llm.common import Tables, slices
 KINDS = ("email", "ip", "card", "phone")
 EXTRA = ("secret",)
 ORDER = {k: i for i, k in enumerate(KINDS + EXTRA)}
-#: Candidates at most that the classifier is fitted on, and the probability from which a candidate is a span.
+#: Candidates at most of a kind that its classifier is fitted on, and the probability from which a candidate is a span.
 SAMPLE, THRESHOLD = 20_000, 0.9
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -204,15 +205,14 @@ def train(found: DataFrame) -> dict[str, list[float]]:
     """kind -> weights, from ``detect``'s rows."""
     rows = found.select("doc_id", F.explode("cands").alias("c")).select("doc_id", "c.*")
     patterns = [r for r in rows.groupBy("kind", "votes").count().orderBy("kind", "votes").collect()]
-    sample = rows.select("kind", "votes", "x", F.xxhash64("doc_id", "kind", "start").alias("h")).orderBy("h", "kind", "votes").limit(SAMPLE).collect()
+    sample = rows.select("kind", "votes", "x", F.xxhash64("doc_id", "kind", "start").alias("h"))
     out = {}
     for kind in sorted({r["kind"] for r in patterns}):
         own = [r for r in patterns if r["kind"] == kind]
         p, _, _ = em(np.array([list(map(int, r["votes"].split(","))) for r in own]), np.array([r["count"] for r in own], float))
         said = {r["votes"]: x for r, x in zip(own, p, strict=True)}
-        mine = [r for r in sample if r["kind"] == kind]
-        if mine:
-            out[kind] = logistic(np.array([r["x"] for r in mine]), np.array([said[r["votes"]] for r in mine])).tolist()
+        mine = sample.where(F.col("kind") == kind).orderBy("h", "votes").limit(SAMPLE).collect()
+        out[kind] = logistic(np.array([r["x"] for r in mine]), np.array([said[r["votes"]] for r in mine])).tolist()
     return out
 
 

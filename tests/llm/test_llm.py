@@ -216,6 +216,18 @@ def test_pii(spark):
     assert clean[0] == "mail <email>, a@<email> e@f" and clean[5] is None and clean[7] == "plain words" and "f3ef4d" not in clean[6]
 
 
+def test_pii_sample_of_each_kind(spark, monkeypatch):
+    """A rare kind keeps its spans when a frequent one has more candidates than the sample."""
+    docs = [(i, f"key = \"{sha256(str(i).encode()).hexdigest()[:40]}\"") for i in range(400)]
+    docs += [(1000 + i, f"contact: jane.doe{i} [at] example [dot] com") for i in range(4)]
+    found = lambda: [r for r in rows(pii.find_pii(frame(spark, docs)), "doc_id", "spans") if "email:" in r[1]]
+    whole = found()
+    assert len(whole) == 4
+    monkeypatch.setattr(pii, "SAMPLE", 20)
+    assert found() == whole
+    assert not any("jane" in r["text"] for r in pii.redact(frame(spark, docs)).collect())
+
+
 def test_em_and_classifier():
     import numpy as np
 
