@@ -1,12 +1,14 @@
 """Licence scans by sentence rules, on built-in functions only.
 
-Texts are cut into sentences, which are normalised (lower case, runs of other characters than a-z and 0-9 as one space). Each
-sentence that is in the table of known licence sentences gives its identifier; a document's identifiers in text order are matched
+Texts are cut at sentence ends and line breaks, and the pieces are normalised (lower case, runs of other characters than a-z and
+0-9, so also comment marks, as one space). Pieces from a whole one to a whole one that spell a sentence of the table of known
+licence sentences give its identifier, so a sentence may be wrapped over lines. A document's identifiers in text order are matched
 against the licence rules in their order. A rule that matches takes its identifiers out, so the parts of a longer licence are not
 reported again by the shorter rules after it.
 
-The table is a fixed literal of some dozen rows, broadcast; the documents are not shuffled but for the few rows that hold a known
-sentence. Null or empty text: no sentences. Rows are told apart by doc_id and text; repeated rows get equal results.
+The table is a fixed literal of some dozen sentences, one regular expression over the normalised pieces; documents are not
+shuffled. ``n_sentences`` counts pieces. ``ORACLE`` compares single pieces: the same where no known sentence is wrapped. Null or
+empty text: no sentences. Each row is handled by itself.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import ASCII_LOWER, NULL_ID
+from sparkloom.llm.common import ASCII_LOWER
 
 # Sentences of public licences and notices, with the identifier of each.
 SENTENCES = {
@@ -69,28 +71,32 @@ def _pattern(ids: tuple[int, ...]) -> str:
 
 
 _CUT = r"([.!?:;])[ \t\r\n]+"
+#: Every known sentence holds one of these words, and no line break is inside a word.
+_MAY = "(?i)licens|permission|software|redistribution"
+
+
+def _known() -> dict[str, int]:
+    """Normalised sentence -> identifier."""
+    # A sentence that is cut inside, like one with a colon, is known by its first part.
+    return {normalised(re.split(r"(?<=[.!?:;])[ \t\r\n]+", s)[0]): i for i, s in SENTENCES.items()}
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_known, sentence_ids, licenses of each row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), F.xxhash64("text").alias("t"), "doc_id", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), _CUT, "$1\n"), "\n").alias("lines"))
-    rows = rows.withColumn("sentences", F.expr("filter(lines, l -> l RLIKE '[A-Za-z0-9]')"))
-    # A sentence that is cut inside, like one with a colon, is known by its first part.
-    parts = {i: normalised(re.split(r"(?<=[.!?:;])[ \t\r\n]+", s)[0]) for i, s in SENTENCES.items()}
-    known = F.broadcast(spark.createDataFrame([(v, i) for i, v in parts.items()], "s string, id int"))
-    normal = F.trim(F.regexp_replace(F.expr(ASCII_LOWER.format("raw")), "[^a-z0-9]+", " "))
-    found = rows.select("k", "t", F.posexplode("sentences").alias("p", "raw")).select("k", "t", "p", normal.alias("s")).join(known, "s")
-    # At most one identifier a sentence of the document.
-    found = found.distinct().groupBy("k", "t").agg(F.array_sort(F.collect_list(F.struct("p", "id"))).alias("ids"))
-    found = found.select("k", "t", F.size("ids").cast("long").alias("n_known"), F.expr("array_join(transform(ids, x -> concat('<', x.id, '>')), '')").alias("sentence_ids"))
+    known = _known()
+    # Known sentences from the start of one piece to the end of the same or a later one, the longest first.
+    pattern = "(?<=[|])(?:" + "|".join(s.replace(" ", "[ |]") for s in sorted(known, key=len, reverse=True)) + ")(?=[|])"
+    ids = "map(" + ", ".join(f"'{s}', '<{i}>'" for s, i in known.items()) + ")"
+    rows = docs.select("doc_id", "text", F.split(F.regexp_replace(F.coalesce("text", F.lit("")), _CUT, "$1\n"), "\n").alias("lines"))
+    rows = rows.select("doc_id", F.rlike("text", F.lit(_MAY)).alias("may"), F.expr("filter(lines, l -> l RLIKE '[A-Za-z0-9]')").alias("sentences"))
+    normal = f"trim(regexp_replace({ASCII_LOWER.format('raw')}, '[^a-z0-9]+', ' '))"
+    joined = F.when(F.col("may"), F.expr(f"concat('|', array_join(transform(sentences, raw -> {normal}), '|'), '|')")).otherwise("")
+    rows = rows.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.regexp_extract_all(joined, F.lit(pattern), F.lit(0)).alias("found"))
+    rows = rows.select("doc_id", "n_sentences", F.size("found").cast("long").alias("n_known"), F.expr(f"array_join(transform(found, s -> element_at({ids}, translate(s, '|', ' '))), '')").alias("sentence_ids"))
     rules = "array(" + ", ".join(f"named_struct('name', '{n}', 'seq', '{_pattern(s)}')" for n, s in RULES) + ")"
     step = "IF(contains(a.seq, r.seq), named_struct('seq', replace(a.seq, r.seq, '|'), 'got', array_append(a.got, r.name)), a)"
     got = f"aggregate({rules}, named_struct('seq', sentence_ids, 'got', cast(array() as array<string>)), (a, r) -> {step}).got"
-    found = found.withColumn("licenses", F.expr(f"array_join(array_sort(array_distinct({got})), ',')"))
-    out = rows.select("k", "t", "doc_id", F.size("sentences").cast("long").alias("n_sentences")).join(found, ["k", "t"], "left")
-    none = F.lit("")
-    return out.select("doc_id", "n_sentences", F.coalesce("n_known", F.lit(0).cast("long")).alias("n_known"), F.coalesce("sentence_ids", none).alias("sentence_ids"), F.coalesce("licenses", none).alias("licenses"))
+    return rows.withColumn("licenses", F.expr(f"array_join(array_sort(array_distinct({got})), ',')"))
 
 
 def _oracle() -> str:

@@ -196,6 +196,20 @@ def test_licenses(spark):
     assert got == sorted([(1, "MIT", 3), (2, "MIT", 1), (3, "BSD-2-Clause", 3), (4, "Apache-2.0,CC-BY-NC-4.0", 3), (5, "", 0), (6, "", 0), (7, "", 0), (7, "", 0)], key=repr)
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    s = licenses.SENTENCES
+    mit = "\n\n".join(textwrap.fill(s[i], 72) for i in (10, 11, 12))
+    apache = textwrap.indent("\n".join(textwrap.fill(s[i], 60) for i in (20, 21, 22)), "# ")
+    docs = [
+        (1, f"MIT License\n\nCopyright (c) 2020 A. Body\n\n{mit} IN NO EVENT"), (2, apache), (3, textwrap.indent(mit, " * ").replace("\n", "\r\n")),
+        (4, s[10].replace("this software", "this\nhardware")), (5, "Released under\nthe MIT License.\nLicensed under CC BY\n4.0."), (6, "It is not released under\nthe MIT License."),
+    ]
+    got = rows(licenses.scan(frame(spark, docs)), "doc_id", "licenses", "sentence_ids")
+    assert got == [(1, "MIT", "<10><11><12>"), (2, "Apache-2.0", "<20><21><22>"), (3, "MIT", "<10><11><12>"), (4, "", ""), (5, "CC-BY-4.0,MIT", "<1><50>"), (6, "", "")]
+
+
 PII = ["mail a.b+c@x-y.example.com, a@b@c.d e@f", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8", "4111 1111 1111 1111 and 4111111111111112", "+1 (234) 555-6789 +12 +1234567890123456", "", None, "token = \"f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda\" x", "plain words"]
 
 
