@@ -2,13 +2,13 @@
 
 Texts are cut at sentence ends and line breaks, and the pieces are normalised (lower case, runs of other characters than a-z and
 0-9, so also comment marks, as one space). Pieces from a whole one to a whole one that spell a sentence of the table of known
-licence sentences give its identifier, so a sentence may be wrapped over lines. A document's identifiers in text order are matched
-against the licence rules in their order. A rule that matches takes its identifiers out, so the parts of a longer licence are not
-reported again by the shorter rules after it.
+licence sentences give its identifier, so a sentence may be wrapped over lines or cut inside, like one with a colon; it counts
+only as a whole. A document's identifiers in text order are matched against the licence rules in their order. A rule that matches
+takes its identifiers out, so the parts of a longer licence are not reported again by the shorter rules after it.
 
 The table is a fixed literal of some dozen sentences, one regular expression over the normalised pieces; documents are not
-shuffled. ``n_sentences`` counts pieces. ``ORACLE`` compares single pieces: the same where no known sentence is wrapped. Null or
-empty text: no sentences. Each row is handled by itself.
+shuffled. ``n_sentences`` counts pieces. ``ORACLE`` compares single pieces with the first part of each known sentence: the same
+where none is wrapped and none is there in part. Null or empty text: no sentences. Each row is handled by itself.
 """
 
 from __future__ import annotations
@@ -77,8 +77,7 @@ _MAY = "(?i)licens|permission|software|redistribution"
 
 def _known() -> dict[str, int]:
     """Normalised sentence -> identifier."""
-    # A sentence that is cut inside, like one with a colon, is known by its first part.
-    return {normalised(re.split(r"(?<=[.!?:;])[ \t\r\n]+", s)[0]): i for i, s in SENTENCES.items()}
+    return {normalised(s): i for i, s in SENTENCES.items()}
 
 
 def scan(docs: DataFrame) -> DataFrame:

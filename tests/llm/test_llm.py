@@ -210,6 +210,14 @@ def test_wrapped_licenses(spark):
     assert got == [(1, "MIT", "<10><11><12>"), (2, "Apache-2.0", "<20><21><22>"), (3, "MIT", "<10><11><12>"), (4, "", ""), (5, "CC-BY-4.0,MIT", "<1><50>"), (6, "", "")]
 
 
+def test_licenses_by_whole_sentences(spark):
+    s = licenses.SENTENCES
+    gpl2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    docs = [(1, s[30]), (2, gpl2), (3, "This program is free software."), (4, s[30].replace("either version", "either\n# version") + "\n" + s[31]), (5, "Licensed under the Apache License, Version 2.0 (the \"License\"); no more."), (6, f"{s[20]} {s[2]}")]
+    got = rows(licenses.scan(frame(spark, docs)), "doc_id", "licenses", "sentence_ids")
+    assert got == [(1, "GPL-3.0-or-later", "<30>"), (2, "", ""), (3, "", ""), (4, "GPL-3.0-or-later", "<30><31>"), (5, "", ""), (6, "Apache-2.0", "<20><2>")]
+
+
 PII = ["mail a.b+c@x-y.example.com, a@b@c.d e@f", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8", "4111 1111 1111 1111 and 4111111111111112", "+1 (234) 555-6789 +12 +1234567890123456", "", None, "token = \"f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda\" x", "plain words"]
 
 
