@@ -52,8 +52,8 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of ``docs`` (doc_id, text)."""
+def _scored(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
+    """The columns of ``decontaminate`` after k and t, the id and the hash of the text that tell rows apart."""
     d = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), F.xxhash64("text").alias("t"), F.col("doc_id"), F.col("text"))
 
     def worded(rows: DataFrame, least: int) -> DataFrame:
@@ -95,13 +95,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         named = named.select("k", "t", F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("items"))
         out = out.join(spans, ["k", "t"], "left").join(named, ["k", "t"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select("k", "t", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of ``docs`` (doc_id, text)."""
+    return _scored(docs, items, window, gram).drop("k", "t")
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The rows of ``docs`` in which no item window occurs, with all their columns."""
-    bad = decontaminate(docs, items, window, gram).where("contaminated").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("bad_id")).distinct()
-    return docs.join(bad, F.coalesce(docs["doc_id"], F.lit(NULL_ID)) == bad["bad_id"], "left_anti")
+    """The rows of ``docs`` in which no item window occurs, with all their columns; each row by its own text, whatever its id."""
+    bad = _scored(docs, items, window, gram).where("contaminated").select(F.col("k").alias("bad_id"), F.col("t").alias("bad_text")).distinct()
+    same = (F.coalesce(docs["doc_id"], F.lit(NULL_ID)) == bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_text"])
+    return docs.join(bad, same, "left_anti")
 
 
 ORACLE = r"""

@@ -74,6 +74,14 @@ def test_decontaminate(spark, docs, extra):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [x[0] for x in want if not x[5]]
 
 
+def test_clean_rows_of_one_id(spark):
+    """A contaminated row takes no other row of its id along, null or not."""
+    leak = " ".join(f"leak{i}" for i in range(12))
+    docs = [(None, f"x {leak} y"), (None, "some clean text"), (None, None), (7, leak), (7, "another clean text"), (7, "another clean text"), (8, f"{leak} z")]
+    kept = decontaminate.clean(frame(spark, docs, True), spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    assert rows(kept, "doc_id", "text") == sorted([docs[i] for i in (1, 2, 4, 5)], key=repr)
+
+
 def test_decontaminate_without_broadcast(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     items = [(1, " ".join(docs[0][1].split()[:14])), (2, "edit")]
