@@ -191,9 +191,8 @@ def code_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rendered code of the first three variants of each two-step spec of a dozen operations."""
-    some = specs.atomic_table(spark).where("pos % 4 = 1")
-    rows = render.variants(specs.permutations(some, 2).where("n_ops = 2"), True, limit=3, seed=7)
+    """Rendered code of the first three variants of each two-step spec."""
+    rows = render.variants(specs.permutations(specs.atomic_table(spark), 2).where("n_ops = 2"), True, limit=3, seed=7)
     return rows.select("spec_id", "style_id", render.render().alias("code")).withColumn("code_hash", F.sha2("code", 256))
 
 

@@ -90,3 +90,10 @@ def test_counts(spark):
 
 def test_literal_ops(spark):
     assert spark.range(1).select(F.expr(ops_literal(ATOMIC[:2]))).first()[0][1]["name"] == "odd"
+
+
+def test_code_candidates_of_every_two_step_spec(spark, sf_dir):
+    from sparkloom.queries import queries
+
+    per = {r["spec_id"]: r["count"] for r in queries()["code_candidates"](spark, sf_dir).groupBy("spec_id").count().collect()}
+    assert len(per) == len(ATOMIC) * (len(ATOMIC) - 1) and set(per.values()) == {3}
