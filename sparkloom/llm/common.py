@@ -13,6 +13,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,27 +37,55 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of tables written inside ``scratch`` blocks that are open, innermost last.
+_open: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what operators called inside have left in the shared folder.
+
+    For callers that have written or collected an operator's result: a result is lazy and reads the operator's last tables.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for root in _open.pop():
+            _delete(spark, root)
+
+
 class Tables:
-    """Tables written to the shared folder during one call of an operator; ``drop`` deletes those no longer read."""
+    """Tables written to the shared folder during one call of an operator; ``drop`` deletes those no longer read.
+
+    Those that the result still reads go with the ``scratch`` block around the call, or else when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
+        if _open:
+            _open[-1].append(self.root)
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._sparkloom_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._sparkloom_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, t._sparkloom_path)
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -77,23 +106,26 @@ def slots(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bloom(df: DataFrame, column: str, bits_log2: int = 26) -> np.ndarray:
-    """A bit field of fixed size with a bit for each value of a long column.
+#: Bits of a bit field, as powers of two: at least and at most (32 MB).
+FIELD_LEAST, FIELD_MOST = 16, 28
+
+
+def bloom(df: DataFrame, column: str, rows: int) -> np.ndarray:
+    """A bit field with a bit for each value of a long column of ``rows`` rows, 16 bits a row or more.
 
-    It is built on the executors, a word of 64 bits a row, and its size depends on ``bits_log2`` alone (8 MB for 26), so
-    it can be broadcast whatever the input. When the input outgrows it, it lets more values through and the exact join
-    that follows it has more to do; it never loses one.
+    It is built on the executors, a word of 64 bits a row, and has 2**FIELD_MOST bits at most, so it can be broadcast whatever the
+    input. Beyond 2**24 values it lets more through and the exact join that follows it has more to do; it never loses one.
     """
+    bits_log2 = min(FIELD_MOST, max(FIELD_LEAST, (16 * rows).bit_length()))
     words = bits_log2 - 6
     mixed = F.shiftrightunsigned(F.xxhash64(F.col(column)), 64 - bits_log2)
-    rows = (
+    found = (
         df.select(F.shiftrightunsigned(mixed, 6).cast("int").alias("w"), F.expr("1L").alias("one"), mixed.alias("m"))
         .select("w", F.expr("shiftleft(one, cast(m & 63 as int))").alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
-    )
+    ).toArrow()
     field = np.zeros(1 << words, np.int64)
-    found = rows.toArrow()
     field[found["w"].to_numpy()] = found["b"].to_numpy()
     return field
 

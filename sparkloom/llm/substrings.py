@@ -4,18 +4,20 @@ Seeds are winnowed anchors of 8 words (see ``repeats``): every run of 35 words h
 that repeat are extended both ways over their whole context, the text that all their windows cover:
 
 * runs that share a context are repeated in every window: a group of copies costs one row a run, never a pair;
-* where an anchor has several contexts, the first run of each extends window by window: windows are hashed, counted with partial
+* where an anchor has several contexts, the first run of each extends window by window: windows are counted with partial
   sums on the map side, and those of a count of two or more are the maximal repeats' windows.
 
-Each window belongs to one anchor, so nothing is compared twice; a window counts as repeated when its hash occurs at two starts,
-the same document included. Windows are judged on the input. Removed is what any repeated window covers.
+Each window belongs to one anchor, so nothing is compared twice. Contexts and windows are equal when the digests (BLAKE2b, 128
+bits) of their words, joined by one space, are; word and gram hashes bring them together only. A window counts as repeated when it
+starts at two places, the same document included. Windows are judged on the input. Removed is what any repeated window covers.
 
-Null text: no words. Repeated rows, also of one doc_id, are copies like any others. Texts under one doc_id are kept apart by a hash.
+Null or empty text and an empty table: no words. Texts of any length are read whole. Repeated rows, also of one doc_id, are copies like any
+others; so are rows of a null doc_id. Texts under one doc_id are kept apart by a hash. There are no ties: all copies are removed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -25,39 +27,47 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import repeats
 from sparkloom.llm.common import Tables, slices
-from sparkloom.llm.jaccard import word_hashes
+from sparkloom.llm.hashes import digests, word_spans
 
 WINDOW, GRAM = 35, 8
 
 
+def read(raw: bytes) -> tuple[np.ndarray, Callable[[np.ndarray, np.ndarray], list[bytes]]]:
+    """Word hashes, and spans of words joined by one space."""
+    hashes, starts, ends = word_spans(raw)
+    return hashes, lambda s, e: [b" ".join(raw[x:y].split()) for x, y in zip(starts[s].tolist(), ends[e - 1].tolist(), strict=True)]
+
+
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of ``docs`` (doc_id, text); with ``texts`` also the kept words."""
     tables = Tables(docs.sparkSession, "substrings")
-    rows = repeats._rows(docs)
-    runs, kinds = repeats.contexts(rows, word_hashes, window, gram, tables)
-    copied = runs.join(kinds.where("n > 1").select("h", "x"), ["h", "x"], "left_semi")
+    rows = repeats.rows_of(docs)
+    runs, kinds = repeats.contexts(rows, read, window, gram, tables)
+    copied = runs.join(kinds.where("n > 1").select("h", "x", "y"), ["h", "x", "y"], "left_semi")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            ks, ts, hs, starts, times = [], [], [], [], []
+            ks, ts, xs, ys, starts, times = [], [], [], [], [], []
             for i, (k, t, text) in enumerate(zip(*[b.column(c).to_pylist() for c in ("k", "t", "text")], strict=True)):
-                sums = repeats.prefix_sums(word_hashes(text.encode()))
+                words = text.encode().split()
                 own = b.column("own")[i].values
                 s, e, n = (own.field(c).to_numpy(zero_copy_only=False) for c in ("s", "e", "n"))
                 at = np.concatenate([np.arange(x, y + 1) for x, y in zip(s, e, strict=True)])
                 ks.append(np.full(len(at), k))
                 ts.append(np.full(len(at), t))
-                hs.append(repeats.span_hashes(sums, at, at + window).view(np.int64))
+                x, y = digests([b" ".join(words[j : j + window]) for j in at.tolist()])
+                xs.append(x)
+                ys.append(y)
                 starts.append(at)
                 times.append(np.repeat(n, e - s + 1))
-            cat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (hs, ks, ts, starts, times)]
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cat[:3]], *[pa.array(c, pa.int32()) for c in cat[3:]]], ["w", "k", "t", "s", "n"])
+            cat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (xs, ys, ks, ts, starts, times)]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cat[:4]], *[pa.array(c, pa.int32()) for c in cat[4:]]], ["x", "y", "k", "t", "s", "n"])
 
     some = kinds.where("others > 0").select("first.k", "first.t", "first.s", "first.e", F.least("n", F.lit(2)).cast("int").alias("n"))
     own = tables.write(some.groupBy("k", "t").agg(F.collect_list(F.struct("s", "e", "n")).alias("own")))
-    windows = tables.write(repeats.with_texts(rows, own).mapInArrow(extend, "w long, k long, t long, s int, n int"))
-    twice = windows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")
-    found = windows.join(twice, "w", "left_semi").select("k", "t", "s", (F.col("s") + window).alias("e"))
+    windows = tables.write(repeats.with_texts(rows, own).mapInArrow(extend, "x long, y long, k long, t long, s int, n int"))
+    twice = windows.groupBy("x", "y").agg(F.sum("n").alias("n")).where("n > 1").select("x", "y")
+    found = windows.join(twice, ["x", "y"], "left_semi").select("k", "t", "s", (F.col("s") + window).alias("e"))
     spans = tables.write(copied.select("k", "t", "s", (F.col("e") + window).alias("e")).union(found).distinct())
     tables.drop(runs, kinds, own, windows)
 
