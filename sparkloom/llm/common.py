@@ -173,11 +173,12 @@ def components(spark: SparkSession, edges: DataFrame, tables: Tables) -> DataFra
     """(v, comp): the smallest vertex that each vertex of ``edges`` (a, b) reaches.
 
     Rounds of large-star and small-star (Kiveris et al. 2014) on a written edge table; a hub only ever gets its smallest
-    neighbour as a value, so no neighbour list is gathered. The rounds are logarithmic in practice.
+    neighbour as a value, so no neighbour list is gathered. The rounds are logarithmic in practice; stars stay as they are.
     """
     now = tables.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
+    state = lambda t: t.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    before = state(now)
+    while before[0]:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.join(least, both.a == least.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -185,10 +186,8 @@ def components(spark: SparkSession, edges: DataFrame, tables: Tables) -> DataFra
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         small = large.join(low, large.a == low.k).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = tables.write(small.where("a <> b").distinct())
-        state = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         tables.drop(now, large)
-        now = after
-        if state == before:
+        now, last, before = after, before, state(after)
+        if before == last:
             break
-        before = state
     return now.select(F.col("a").alias("v"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("v"), F.col("b").alias("comp"))).groupBy("v").agg(F.min("comp").alias("comp"))

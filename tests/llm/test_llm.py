@@ -95,7 +95,7 @@ def test_substrings(spark, docs, extra):
     assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.substrings(docs), key=repr)
 
 
-@pytest.mark.parametrize("bucket", [1, 300, 400_000])
+@pytest.mark.parametrize("bucket", [1, 2_000])
 def test_suffixes(spark, docs, bucket, monkeypatch):
     """Whatever lies between two equal suffixes: other suffixes of a bucket, or its boundary."""
     monkeypatch.setattr(suffixes, "BUCKET_WINDOWS", bucket)
@@ -164,10 +164,9 @@ def test_jaccard(spark, docs, limit, monkeypatch):
         assert sorted(r[0] for r in kept.select("doc_id").collect()) == sorted(d for d, _, c in want if d == c)
 
 
-@pytest.mark.parametrize("block", [4, 1000])
-def test_near_copies_of_one_text(spark, block, monkeypatch):
+def test_near_copies_of_one_text(spark, monkeypatch):
     """A large group of near copies, some of them near to few others only."""
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
     rng = random.Random(9)
     base = words(rng, 120, 5000)
     docs = [(i, " ".join(w if rng.random() > rng.choice((0.005, 0.02, 0.04)) else f"e{rng.randrange(10**6)}" for w in base)) for i in range(150)]
@@ -181,19 +180,17 @@ def variants(words_, n, at):
     return " ".join(words_), " ".join(other)
 
 
-@pytest.mark.parametrize("parts", [1, 3, 8])
-def test_jaccard_of_null_and_repeated_ids(spark, parts):
+def test_jaccard_of_null_and_repeated_ids(spark):
     rng = random.Random(12)
     (a, a2), (b, b2), (c, c2), (e, e2) = (variants(words(rng, 80, 10**6), i, 7) for i in range(4))
-    docs = [(None, a), (5, a2), (None, b), (7, b2), (3, c), (3, e), (8, c2), (9, e2), (9, e2), (None, None), (None, ""), (None, "only null ids " * 3), (None, "only null ids " * 3), (11, ""), (11, "")]
-    d = frame(spark, docs).repartition(parts)
-    want = [(None, 5), (5, 5), (None, 7), (7, 7), (3, 3), (3, 3), (8, 3), (9, 3), (9, 3), (None, None), (None, None), (None, None), (None, None), (11, 11), (11, 11)]
-    assert rows(jaccard.join(d), "doc_id", "component_id") == sorted(want, key=repr)
-    kept = [(5, a2), (7, b2), (3, c), (3, e), (None, None), (None, ""), (None, "only null ids " * 3), (11, ""), (11, "")]
-    assert rows(jaccard.keep_one(d), "doc_id", "text") == sorted(kept, key=repr)
-    many = spark.createDataFrame([(4, a), (4, a2), (4, a), (2, b), (2, b)], "doc_id long, text string").repartition(parts)
-    got = jaccard.keep_one(many).collect()
-    assert sorted(r["doc_id"] for r in got) == [2, 4]
+    none, (f, f2) = "only null ids " * 3, variants(words(rng, 60, 10**6), 9, 5)
+    docs = [(None, a), (5, a2), (None, b), (7, b2), (3, c), (3, e), (8, c2), (9, e2), (9, e2), (None, None), (None, ""), (None, none), (None, none), (11, ""), (11, ""), (4, f), (4, f2), (4, f)]
+    want = [(None, 5), (5, 5), (None, 7), (7, 7), (3, 3), (3, 3), (8, 3), (9, 3), (9, 3), (None, None), (None, None), (None, None), (None, None), (11, 11), (11, 11), (4, 4), (4, 4), (4, 4)]
+    for parts in (1, 8):
+        assert rows(jaccard.join(frame(spark, docs).repartition(parts)), "doc_id", "component_id") == sorted(want, key=repr)
+    kept = rows(jaccard.keep_one(frame(spark, docs)), "doc_id", "text")
+    assert [x for x in kept if x[0] != 4] == sorted([(5, a2), (7, b2), (3, c), (3, e), (None, None), (None, ""), (None, none), (11, ""), (11, "")], key=repr)
+    assert [x in ((4, f), (4, f2)) for x in kept if x[0] == 4] == [True]
 
 
 def test_blocks_meet_once(spark, monkeypatch):
