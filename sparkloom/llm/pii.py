@@ -1,7 +1,8 @@
 """Personal data by weak supervision: labelers vote, EM estimates their reliabilities, and a final span classifier is trained.
 
-1. One scan finds the base spans (fixed patterns) and, in the rest of the text, candidate spans of the same kinds and of
-   secrets, and lets regex, gazetteer and context labelers vote on every candidate (1 yes, 0 abstain, -1 no).
+1. One scan finds the base spans (fixed patterns) and, in the rest of the text, candidate spans of the same kinds (written-out e-mails,
+   IPv6, national phones) and of further ones (secrets, IBANs, social security numbers, addresses, names), and lets regex,
+   gazetteer and context labelers vote on every candidate (1 yes, 0 abstain, -1 no).
 2. The votes of the whole table are counted by kind and pattern of votes; the counts, at most 3**6 a kind, go to the driver,
    where EM fits each labeler's accuracy and the share of true candidates (a one-coin model per kind).
 3. A logistic classifier over shape and context features is fitted to EM's probabilities on ``SAMPLE`` candidates of a kind at most,
@@ -9,13 +10,15 @@
    touch a base one. Each kind has its own sample, so a frequent kind takes none of a rare one's places.
 
 Base spans always stay. Texts are scanned whole, in linear time. What is written between the steps holds spans and votes, no
-text. Null or empty text: no spans. Repeated rows are handled alike, each by itself.
+text. Null or empty text and an empty table: no spans. Rows are handled each by itself, repeated ones alike, whatever their id. Of candidates
+that overlap, the one of the pattern named first stays, then the leftmost; equal hashes in the sample are ordered by votes.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import Tables, slices
 
 KINDS = ("email", "ip", "card", "phone")
-EXTRA = ("secret",)
+EXTRA = ("secret", "iban", "ssn", "address", "name")
 ORDER = {k: i for i, k in enumerate(KINDS + EXTRA)}
 #: Candidates at most of a kind that its classifier is fitted on, and the probability from which a candidate is a span.
 SAMPLE, THRESHOLD = 20_000, 0.9
@@ -35,6 +38,8 @@ SAMPLE, THRESHOLD = 20_000, 0.9
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
+#: Stands for any digit.
+DIGIT = tuple("0123456789")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -81,65 +86,119 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-# Candidates: wider patterns, one a kind.
-_WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,64}(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]{1,64}){1,4}"),
-    "ip": re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
-    "card": re.compile(r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
-    "secret": re.compile(r"(?<=[=:\s\"'])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_-])"),
-}
-# Gazetteer, fixed values: words beside personal data.
+# Candidates: wider patterns. Where one has a group, the group is the span. What must be in a text before its pattern is tried.
+_WIDE = (
+    ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,64}(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]{1,64}){1,4}"), ("[at]", "(at)", "[AT]", "(AT)")),
+    ("email", re.compile(r"\b[a-z0-9._%+-]{2,64} at [a-z0-9-]{2,64} dot [a-z]{2,12}\b"), (" dot ",)),
+    ("ip", re.compile(r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"), (":",)),
+    ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), DIGIT),
+    ("card", re.compile(r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9])"), DIGIT),
+    ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), DIGIT),
+    ("phone", re.compile(r"(?<![0-9+.-])(?:\([0-9]{3,5}\) ?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}|0[0-9]{2,4}[ /-][0-9]{3,4}[ -]?[0-9]{3,4})(?![0-9])"), DIGIT),
+    ("secret", re.compile(r"(?i:\b(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key))[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;<>]{4,}+)"), (":", "=")),
+    ("secret", re.compile(r"[A-Za-z0-9+/_-]{20,}+"), ()),
+    ("address", re.compile(r"(?<![0-9])[0-9]{1,5} (?:[A-Z][a-z]{1,20} ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd)\b"), DIGIT),
+    ("address", re.compile(r"\b[A-ZÄÖÜ][a-zäöüß]{1,20}(?:stra(?:ß|ss)e|weg|platz|allee) [0-9]{1,4}[a-z]?\b|(?<![0-9])[0-9]{1,4},? (?:rue|boulevard|place) (?:de |du |des |la )?[A-Z][a-zé]{1,20}|\b(?:[Cc]alle|[Aa]venida|[Pp]laza) (?:de )?[A-Z][a-záéíóú]{1,20},? [0-9]{1,4}\b"), DIGIT),
+    ("name", re.compile(r"[MDPHFS](?:r|rs|s|rof|err|rau|me|onsieur|adame|eñora?|ra?)\.? ([A-ZÀ-Ý][a-zß-ÿ]{1,20}(?: [A-ZÀ-Ý][a-zß-ÿ]{1,20})?)"), ()),
+    ("name", re.compile(r"[A-Z][a-zé]{2,12} [A-Z][a-zß-ÿ]{2,20}"), ()),
+)
+# Gazetteers, fixed values: words beside personal data, common given names, ends of host names, lengths of IBANs.
 GAZETTEER = {
-    "email": {"email", "mail", "e-mail", "contact", "write", "courriel", "correo", "kontakt"},
-    "ip": {"ip", "host", "server", "address", "addr", "client", "adresse"},
+    "email": {"email", "mail", "e-mail", "contact", "write", "courriel", "correo", "kontakt", "reach", "address"},
+    "ip": {"ip", "ipv6", "host", "server", "address", "addr", "client", "adresse", "from"},
+    "iban": {"iban", "account", "konto", "compte", "cuenta", "bank", "transfer", "bic"},
     "card": {"card", "visa", "mastercard", "amex", "credit", "debit", "carte", "karte", "tarjeta"},
-    "phone": {"phone", "tel", "telephone", "call", "mobile", "cell", "fax", "telefon", "llamar"},
-    "secret": {"token", "key", "secret", "password", "passwd", "apikey", "api_key", "bearer", "credential"},
+    "ssn": {"ssn", "social", "security", "taxpayer"},
+    "phone": {"phone", "tel", "telephone", "call", "mobile", "cell", "fax", "telefon", "llamar", "ring", "teléfono", "téléphone", "anrufen"},
+    "secret": {"token", "key", "secret", "password", "passwd", "pwd", "passphrase", "apikey", "api_key", "access_key", "bearer", "credential"},
+    "address": {"address", "lives", "live", "street", "adresse", "wohnt", "domicilio", "habite", "ship", "home", "at"},
+    "name": {"name", "named", "contact", "signed", "regards", "dear", "patient", "nom", "nombre", "mr", "mrs", "ms", "dr", "herr", "frau", "madame", "señor", "señora"},
 }
+GIVEN_NAMES = frozenset(
+    "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Daniel Lisa Matthew Nancy Anthony Betty "
+    "Hans Peter Klaus Jürgen Wolfgang Ursula Monika Petra Sabine Stefan Andreas Jean Pierre Michel Alain Marie Nathalie Isabelle Sylvie Philippe Jane Jack Emma Olivia "
+    "Antonio José Manuel Francisco Juan Carmen María Josefa Isabel Ana Dolores Pilar Carlos Jorge Luis Laura Anna Paul Mark Julia".split()
+)
+HOST_ENDS = frozenset("com org net edu gov io de fr es uk it nl ch at eu info example".split())
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+#: What may stand before and after a secret; nothing at an end of the text.
+_OPENS, _CLOSES = ("", *"=: \t\n\r\"'"), ("", *" \t\n\r\"',;.)=")
 _WORD = re.compile(r"[^\W\d_][\w-]*")
 BEFORE, AFTER = 32, 16
 LABELERS = ("shape", "checksum", "gazetteer", "assignment", "variety", "boundary")
 
 
+def _iban(span: str) -> bool:
+    flat = span.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
 def _votes(kind: str, text: str, s: int, e: int) -> tuple[list[int], list[float]]:
-    """Votes of LABELERS and the features of one candidate."""
+    """Votes of LABELERS and the features of one candidate.
+
+    shape and variety look at the span's form, checksum at what its kind prescribes, gazetteer and assignment at the text before
+    it, boundary at both sides.
+    """
     span, left, right = text[s:e], text[max(0, s - BEFORE) : s], text[e : e + AFTER]
-    digits = _digits(span)
+    look = span[:512]
+    digits = _digits(look)
     near = {w.lower() for w in _WORD.findall(left)}
     cue = bool(near & GAZETTEER[kind])
     other = any(near & v for k, v in GAZETTEER.items() if k != kind)
     assigned = bool(re.search(r"[=:]\s*[\"']?$", left))
-    kinds = sum(bool(re.search(p, span)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
-    counts = np.unique(list(span), return_counts=True)[1] / len(span)
+    kinds = sum(bool(re.search(p, look)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    counts = np.unique(list(look), return_counts=True)[1] / len(look)
     entropy = float(-(counts * np.log2(counts)).sum())
-    grouped = bool(re.search(r"[0-9][ -][0-9]", span))
+    grouped = bool(re.search(r"[0-9][ -][0-9]", look))
     if kind == "card":
         shape, check, variety = (1 if grouped else 0), (1 if _luhn(digits) else -1), (-1 if len(set(digits)) < 4 else 0)
     elif kind == "phone":
-        shape, check, variety = (1 if "(" in span or span.count("-") == 2 else 0), (-1 if digits[:1] in "01" else 0), (-1 if len(set(digits)) < 3 else 0)
+        shape, check, variety = (1 if "(" in span or span.count("-") == 2 or span[0] == "0" else 0), (1 if 9 <= len(digits) <= 12 else -1), (-1 if len(set(digits)) < 3 else 0)
     elif kind == "secret":
-        shape, check, variety = (1 if re.fullmatch(r"[0-9a-f]{32,64}", span) else 0), (-1 if not digits or not re.search("[A-Za-z]", span) else 1), (1 if entropy > 3.3 and kinds > 1 else -1)
+        shape = 1 if re.fullmatch(r"[0-9a-f]{32,}", look) else -1 if re.fullmatch(r"[A-Z]?[a-z]+|[a-z]+(?:[_/-][a-z]+)+", look) else 0
+        check, variety = (1 if digits and re.search("[A-Za-z]", look) else -1), (1 if entropy > 3.3 and kinds > 1 or cue and assigned and kinds > 1 else -1)
     elif kind == "email":
-        shape, check, variety = 1, (1 if re.search(r"[A-Za-z]{2,6}$", span) else -1), 0
+        end = re.findall("[a-z]+", span.lower())[-1:]
+        shape, check, variety = (1 if re.search(r"[\[(]", span) else 0), (1 if end and end[0] in HOST_ENDS else -1), 0
+    elif kind == "iban":
+        flat = span.replace(" ", "")
+        shape, check, variety = (1 if IBAN_LENGTHS.get(flat[:2]) == len(flat) else -1), (1 if _iban(span) else -1), (-1 if len(digits) < 8 else 0)
+    elif kind == "ssn":
+        shape, check, variety = 0, (-1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1), (-1 if len(set(digits)) < 4 else 0)
+    elif kind == "address":
+        shape, check, variety = 1, (-1 if re.search(r"[.!?] ", span) else 0), (1 if re.match(r",? ?(?:[A-Z][a-z]|[0-9]{4,5})", right) else 0)
+    elif kind == "name":
+        known = span.split()[0] in GIVEN_NAMES
+        shape, check, variety = (1 if " " in span else 0), (1 if known else 0), (1 if re.search(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Señora?|Sra?)\.? $", left) else 0)
     else:
-        shape, check, variety = 1, 0, (-1 if entropy < 1.5 else 0)
-    votes = [shape, check, 1 if cue else (-1 if other else 0), 1 if assigned and kind == "secret" else 0, variety, -1 if right[:1].isalnum() or left[-1:].isalnum() else 0]
-    features = [1.0, float(shape), float(check), float(cue), float(other), float(assigned), entropy / 5, kinds / 3, len(span) / 64, len(digits) / len(span), float(grouped), float(left[-1:] in ("", "\n"))]
+        shape, check, variety = (1 if span.count(":") == 7 else 0), (1 if re.search("[0-9]", span) else -1), (-1 if entropy < 1.5 else 0)
+    votes = [shape, check, 1 if cue else (-1 if other else 0), 1 if assigned and kind in ("secret", "iban", "phone", "email", "ssn") else 0, variety, -1 if right[:1].isalnum() or left[-1:].isalnum() else 0]
+    features = [1.0, float(shape), float(check), float(cue), float(other), float(assigned), float(variety), float(votes[5]), entropy / 5, kinds / 4, min(len(span), 256) / 64, len(digits) / len(look), float(grouped), float(left[-1:] in ("", "\n"))]
     return votes, features
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    out = []
-    taken = [(s, e) for _, s, e in base]
+    """Matches of the wide patterns that touch no base span and none of a pattern before."""
+    found: list[tuple[str, int, int]] = []
     digit = bool(_DIGIT.search(text))
-    for kind, pattern in _WIDE.items():
-        if not digit and kind != "email" or kind == "email" and not any(x in text for x in ("[at]", "(at)", "[AT]", "(AT)")):
+    for kind, pattern, holds in _WIDE:
+        if not digit if holds is DIGIT else holds and not any(x in text for x in holds):
             continue
         for m in pattern.finditer(text):
-            if not any(m.start() < e and s < m.end() for s, e in taken):
-                out.append((kind, *m.span()))
-                taken.append(m.span())
+            start, end = m.span(1) if kind in ("secret", "name") and pattern.groups else m.span()
+            if kind == "name" and (not pattern.groups and m.group().split()[0] not in GIVEN_NAMES or text[m.start() - 1 : m.start()].isalnum()):
+                continue
+            if kind == "secret" and not pattern.groups and not (text[start - 1 : start] in _OPENS and text[end : end + 1] in _CLOSES):
+                continue
+            found.append((kind, start, end))
+    if not found:
+        return []
+    taken, out = sorted((s, e) for _, s, e in base), []
+    for c in found:
+        i = bisect_left(taken, (c[1], c[1]))
+        if (i == 0 or taken[i - 1][1] <= c[1]) and (i == len(taken) or c[2] <= taken[i][0]):
+            out.append(c)
+            insort(taken, (c[1], c[2]))
     return out
 
 
@@ -201,24 +260,37 @@ def logistic(x: np.ndarray, p: np.ndarray, rounds: int = 30, ridge: float = 1e-2
     return w
 
 
+def _patterns(found: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """kind -> the patterns of votes and how many candidates have each; at most 3**6 a kind."""
+    rows = found.select(F.explode("cands").alias("c")).groupBy("c.kind", "c.votes").count().orderBy("kind", "votes").collect()
+    kinds = {k: [r for r in rows if r["kind"] == k] for k in sorted({r["kind"] for r in rows})}
+    return {k: (np.array([list(map(int, r["votes"].split(","))) for r in own]), np.array([r["count"] for r in own], float)) for k, own in kinds.items()}
+
+
+def reliabilities(docs: DataFrame) -> dict[str, dict[str, float]]:
+    """kind -> each labeler's accuracy as EM estimates it on the candidates of ``docs``, and the ``share`` of true ones."""
+    out = {}
+    for kind, (votes, counts) in _patterns(detect(docs)).items():
+        _, accuracy, share = em(votes, counts)
+        out[kind] = {**{n: float(a) for n, a in zip(LABELERS, accuracy, strict=True)}, "share": share}
+    return out
+
+
 def train(found: DataFrame) -> dict[str, list[float]]:
-    """kind -> weights, from ``detect``'s rows."""
-    rows = found.select("doc_id", F.explode("cands").alias("c")).select("doc_id", "c.*")
-    patterns = [r for r in rows.groupBy("kind", "votes").count().orderBy("kind", "votes").collect()]
-    sample = rows.select("kind", "votes", "x", F.xxhash64("doc_id", "kind", "start").alias("h"))
+    """kind -> weights, from ``detect``'s rows (written)."""
+    sample = found.select("doc_id", F.explode("cands").alias("c")).select("c.kind", "c.votes", "c.x", F.xxhash64("doc_id", "c.kind", "c.start").alias("h"))
     out = {}
-    for kind in sorted({r["kind"] for r in patterns}):
-        own = [r for r in patterns if r["kind"] == kind]
-        p, _, _ = em(np.array([list(map(int, r["votes"].split(","))) for r in own]), np.array([r["count"] for r in own], float))
-        said = {r["votes"]: x for r, x in zip(own, p, strict=True)}
+    for kind, (votes, counts) in _patterns(found).items():
+        p, _, _ = em(votes, counts)
+        said = {",".join(map(str, v)): float(x) for v, x in zip(votes.tolist(), p, strict=True)}
         mine = sample.where(F.col("kind") == kind).orderBy("h", "votes").limit(SAMPLE).collect()
         out[kind] = logistic(np.array([r["x"] for r in mine]), np.array([said[r["votes"]] for r in mine])).tolist()
     return out
 
 
 def _accepts(model: dict[str, list[float]], kind: str, votes: list[int], x: list[float]) -> bool:
-    """The classifier's verdict; a failed checksum of a card can't be overruled."""
-    if kind not in model or kind == "card" and votes[1] < 0:
+    """The classifier's verdict; a failed checksum of a card or an IBAN can't be overruled."""
+    if kind not in model or kind in ("card", "iban") and votes[1] < 0:
         return False
     return float(np.dot(model[kind], x)) >= math.log(THRESHOLD / (1 - THRESHOLD))
 
