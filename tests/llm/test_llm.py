@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 from hashlib import sha256
 from zlib import crc32
 
@@ -282,33 +283,95 @@ def test_language_on_held_out(spark, sf_dir):
     assert right >= 0.95
 
 
-def test_licenses(spark):
-    s = licenses.SENTENCES
-    docs = [(1, f"x. {s[10]}\n\n{s[11]}\n{s[12]} End."), (2, s[10]), (3, f"{s[40]}\n * {s[41]}\n * {s[42]}"), (4, f"Foo\n{s[2].upper()}\n{s[2]} {s[4]}"), (5, None), (6, ""), (7, "Nothing. At all"), (7, "Nothing. At all")]
-    got = rows(licenses.scan(frame(spark, docs, True)), "doc_id", "licenses", "n_known")
-    assert got == sorted([(1, "MIT", 3), (2, "MIT", 1), (3, "BSD-2-Clause", 3), (4, "Apache-2.0,CC-BY-NC-4.0", 3), (5, "", 0), (6, "", 0), (7, "", 0), (7, "", 0)], key=repr)
-
+# Notices as projects carry them, written out here.
+MIT = """MIT License
+
+Copyright (c) 2020 A. Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL = """/* This program is free software{0} you can redistribute it and/or modify
+ * it under the terms of the GNU {1}General Public License as published by
+ * the Free Software Foundation{2} either version {3} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU {1}General Public License for more details.
+ */
+"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
 
-def test_wrapped_licenses(spark):
-    import textwrap
 
-    s = licenses.SENTENCES
-    mit = "\n\n".join(textwrap.fill(s[i], 72) for i in (10, 11, 12))
-    apache = textwrap.indent("\n".join(textwrap.fill(s[i], 60) for i in (20, 21, 22)), "# ")
-    docs = [
-        (1, f"MIT License\n\nCopyright (c) 2020 A. Body\n\n{mit} IN NO EVENT"), (2, apache), (3, textwrap.indent(mit, " * ").replace("\n", "\r\n")),
-        (4, s[10].replace("this software", "this\nhardware")), (5, "Released under\nthe MIT License.\nLicensed under CC BY\n4.0."), (6, "It is not released under\nthe MIT License."),
+def test_licenses(spark):
+    mozilla = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.\nint x;"
+    texts = [
+        (MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be\n   used to endorse or promote products derived from this software without\n   specific prior written permission.\n", "BSD-3-Clause"),
+        (GPL.format(":", "", ",", 3), "GPL-3.0-or-later"), (GPL.format(";", "", ";", 2), "GPL-2.0-or-later"), (GPL.format(":", "Affero ", ",", 3), "AGPL-3.0-or-later"), (APACHE, "Apache-2.0"), (mozilla, "MPL-2.0"),
+        (MIT.replace("\n", "\r\n"), "MIT"), ("".join(f" * {x}\n" for x in MIT.split("\n")), "MIT"), (MIT + "\n" + APACHE, "Apache-2.0,MIT"),
+        ("This program is free software: it was written in a weekend.", ""), ("This program is free software.", ""), (GPL.format(":", "", ",", 3).replace("General", "Special"), ""), (MIT.replace("obtaining a copy", "making a copy"), ""),
+        ("x\nReleased under the MIT License.\ny", "MIT"), ("It is not released under the MIT License.", ""), ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-only"), ("This work is licensed under the GNU General Public License,\nversion 3 or later.", "GPL-3.0-or-later"),
+        (None, ""), ("", ""), ("Nothing. At all", ""), ("| bar | none |", ""), ("word " * 40_000 + "\n" + MIT, "MIT"),
     ]
-    got = rows(licenses.scan(frame(spark, docs)), "doc_id", "licenses", "sentence_ids")
-    assert got == [(1, "MIT", "<10><11><12>"), (2, "Apache-2.0", "<20><21><22>"), (3, "MIT", "<10><11><12>"), (4, "", ""), (5, "CC-BY-4.0,MIT", "<1><50>"), (6, "", "")]
+    docs = [(i, t) for i, (t, _) in enumerate(texts)] + [(7, "Nothing. At all"), (None, MIT)]
+    got = rows(licenses.scan(frame(spark, docs, True)), "doc_id", "licenses")
+    assert got == sorted([*((i, x) for i, (_, x) in enumerate(texts)), (7, ""), (None, "MIT")], key=repr)
 
 
-def test_licenses_by_whole_sentences(spark):
+def test_license_gap_and_positions(spark):
     s = licenses.SENTENCES
-    gpl2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
-    docs = [(1, s[30]), (2, gpl2), (3, "This program is free software."), (4, s[30].replace("either version", "either\n# version") + "\n" + s[31]), (5, "Licensed under the Apache License, Version 2.0 (the \"License\"); no more."), (6, f"{s[20]} {s[2]}")]
-    got = rows(licenses.scan(frame(spark, docs)), "doc_id", "licenses", "sentence_ids")
-    assert got == [(1, "GPL-3.0-or-later", "<30>"), (2, "", ""), (3, "", ""), (4, "GPL-3.0-or-later", "<30><31>"), (5, "", ""), (6, "Apache-2.0", "<20><2>")]
+    far = "\n".join([s[62], *["something else"] * (licenses.GAP + 1), s[63]])
+    near = "\n".join(["first", s[40], "2001", s[41], *["a line"] * licenses.GAP, s[42], s[43]])
+    got = rows(licenses.scan(frame(spark, [(1, far), (2, near)])), "doc_id", "licenses", "sentence_ids", "positions", "n_known")
+    assert got == [(1, "MPL-2.0", "<62><63>", f"0,{licenses.GAP + 2}", 2), (2, "BSD-3-Clause", "<40><41><42><43>", f"1,3,{licenses.GAP + 4},{licenses.GAP + 5}", 4)]
+    assert len({n for n, _ in licenses.RULES}) >= 30 and all(re.search(licenses._MAY, s) for s in licenses.KNOWN)
+    whole = re.compile(licenses._alternatives())
+    assert all(whole.fullmatch(s) and not whole.fullmatch(s + "x") for s in licenses.KNOWN)
+
+
+def test_licenses_same_as_sql(spark, duck):
+    """The query's SQL finds sentences by joins."""
+    import duckdb
+
+    texts = [MIT, BSD, APACHE, *(GPL.format(":", a, ",", 3) for a in ("", "Affero ")), GPL.format(";", "", ";", 2), "plain\ntext", None, "", f"{MIT}\n{APACHE}\n\nReleased under the MIT License. Released under\nthe MIT License.", "Licensed under\nCC BY\n4.0.\nx", "Licensed under CC BY 4.0. Licensed under CC0 1.0 Universal."]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    names = ("doc_id", "n_sentences", "n_known", "sentence_ids", "positions", "licenses")
+    assert rows(licenses.scan(frame(spark, list(enumerate(texts)))), *names) == sorted(con.sql(f"SELECT {', '.join(names)} FROM ({licenses.ORACLE})").fetchall(), key=repr)
 
 
 PII = ["mail a.b+c@x-y.example.com, a@b@c.d e@f", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8", "4111 1111 1111 1111 and 4111111111111112", "+1 (234) 555-6789 +12 +1234567890123456", "", None, "token = \"f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda\" x", "plain words"]
