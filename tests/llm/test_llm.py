@@ -75,6 +75,16 @@ def test_decontaminate(spark, docs, extra):
     assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [x[0] for x in want if not x[5]]
 
 
+def test_decontaminate_spans(spark):
+    """Overlapping windows merge; passages apart stay apart; items shorter than a window count whole, all lengths at once."""
+    leak = [f"leak{i}" for i in range(40)]
+    items = [(1, " ".join(leak[:25])), (2, " ".join(leak[15:])), (3, "three short words"), (4, "single"), (5, "a b c d e f g")]
+    docs = [(1, " ".join(["x", *leak, "y"])), (2, " ".join([*leak[:12], "gap", *leak[20:32]])), (3, "some three short words and a single one"), (4, " ".join(leak[:9])), (5, "a b c d e f g a b c d e f g"), (6, "")]
+    got = decontaminate.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), spans=True)
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in got.collect()} == {1: [(1, 41)], 2: [(0, 12), (13, 25)], 3: [(1, 4), (6, 7)], 4: [], 5: [(0, 14)], 6: []}
+    assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(brute.decontaminate(docs, items), key=repr)
+
+
 def test_clean_rows_of_one_id(spark):
     """A contaminated row takes no other row of its id along, null or not."""
     leak = " ".join(f"leak{i}" for i in range(12))
@@ -84,7 +94,7 @@ def test_clean_rows_of_one_id(spark):
 
 
 def test_decontaminate_without_broadcast(spark, docs, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     items = [(1, " ".join(docs[0][1].split()[:14])), (2, "edit")]
     got = decontaminate.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     assert rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(brute.decontaminate(docs, items), key=repr)
