@@ -5,11 +5,14 @@ each Arrow batch, then over all; the counts, languages times BUCKETS numbers, ma
 
 Prediction: a document's trigrams are drawn from a mixture of languages. EM estimates the proportions; the set of languages
 starts with the one of best likelihood and takes in the next by proportion as long as the log-likelihood gains more than the
-penalty, ``PENALTY`` times log(trigrams) a language. The prediction is the largest proportion in the set, and its score that
-proportion. Whole texts; only the text is an input.
-
-Null text or a text without a letter: ``und``, score 0; also when nothing was learnt. A row with a null doc_id is in no fold: it
-is not learnt from and counts as held out.
+penalty, ``PENALTY`` times log(trigrams) a language. The prediction is the largest proportion in the set. Its score is that proportion times
+the probability that the set, by its penalised likelihood, has against the best one without the language; so a text of few
+letters has a low score. Whole texts of any length; only the text is an input.
+
+Null text or a text without a letter: ``und``, score 0; also when nothing was learnt, as from an empty table. A row with a null doc_id
+is in no fold: it is not learnt from and counts as held out. Repeated rows count as often as they are there when they are learnt from, and
+get the same prediction. Equal proportions, and equal likelihoods, go by the language's name. More than ``MOST_LANGUAGES`` values
+of ``lang`` are an error: the model, languages times BUCKETS, is held by the driver and each worker.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ BUCKETS_LOG2 = 15
 BUCKETS = 1 << BUCKETS_LOG2
 SMOOTHING, PENALTY, ROUNDS, LEAST_SHARE = 0.5, 4.0, 12, 0.05
 UNKNOWN = "und"
+MOST_LANGUAGES = 500
 
 
 @lru_cache(maxsize=1)
@@ -65,14 +69,15 @@ class Model:
             share = share * ((n / (like @ share)) @ like) / total
         return share, float(n @ np.log(like @ share))
 
-    def infer(self, text: str | None) -> list[tuple[str, float]]:
-        """The document's languages and their proportions, largest first."""
+    def infer(self, text: str | None) -> tuple[list[tuple[str, float]], float]:
+        """The document's languages and their proportions, largest first; the score of the first."""
         found = trigrams(text)
         if not len(found) or not self.languages:
-            return []
+            return [], 0.0
         n = np.bincount(found, minlength=BUCKETS)
         at = np.flatnonzero(n)
         n, like = n[at].astype(float), self.likelihood[at]
+        penalty = PENALTY * np.log(len(found) + 1)
         share, _ = self._mix(like, n)
         alone = n @ np.log(like)
         chosen = [int(np.argmax(alone))]
@@ -83,10 +88,17 @@ class Model:
             if share[i] < LEAST_SHARE:
                 break
             more, score = self._mix(like[:, [*chosen, i]], n)
-            if score - best <= PENALTY * np.log(len(found) + 1):
+            if score - best <= penalty:
                 break
             chosen, value, best = [*chosen, int(i)], more, score
-        return sorted(((self.languages[i], float(v)) for i, v in zip(chosen, value, strict=True)), key=lambda x: (-x[1], x[0]))
+        order = sorted(range(len(chosen)), key=lambda j: (-value[j], self.languages[chosen[j]]))
+        first, rest = chosen[order[0]], [chosen[j] for j in order[1:]]
+        others = [float(x) for j, x in enumerate(alone) if j != first]
+        if rest:
+            others.append(self._mix(like[:, rest], n)[1] - penalty * (len(rest) - 1))
+        margin = best - penalty * len(rest) - max(others) if others else np.inf
+        sure = 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
+        return [(self.languages[chosen[j]], float(value[j])) for j in order], min(1.0, float(value[order[0]]) * float(sure))
 
 
 def learn(docs: DataFrame) -> Model:
@@ -104,6 +116,8 @@ def learn(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], ["lang", "b", "n"])
 
     rows = docs.where(F.col("lang").isNotNull() & ~held_out()).select("text", "lang")
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     got = rows.mapInArrow(run, "lang string, b int, n long").groupBy("lang", "b").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(got["lang"].to_pylist()))
     counts = np.zeros((len(languages), BUCKETS))
@@ -125,9 +139,9 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 [
                     b.column("doc_id"),
                     b.column("held_out"),
-                    pa.array([x[0][0] if x else UNKNOWN for x in said], pa.string()),
-                    pa.array([min(1.0, x[0][1]) if x else 0.0 for x in said], pa.float64()),
-                    pa.array([",".join(f"{lang}:{share:.3f}" for lang, share in x) for x in said], pa.string()),
+                    pa.array([x[0][0] if x else UNKNOWN for x, _ in said], pa.string()),
+                    pa.array([score for _, score in said], pa.float64()),
+                    pa.array([",".join(f"{lang}:{share:.3f}" for lang, share in x) for x, _ in said], pa.string()),
                 ],
                 ["doc_id", "held_out", "lang_pred", "score", "languages"],
             )

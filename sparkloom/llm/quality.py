@@ -2,9 +2,10 @@
 
 Each rule rejects a document. ``plan`` measures every rule's cost and selectivity on a bounded sample and orders the
 rules by rejections per second; ``verdict`` chains them in that order as one CASE, which stops at the first rule that
-rejects. The order changes what is computed, never the verdict. Nothing is shuffled.
+rejects. The order changes what is computed, never the verdict. Nothing is shuffled. The sample is drawn evenly from the whole table.
 
-Null or empty text: no words, so it fails the base rule of 20 words. Repeated rows are judged alike, each by itself.
+Null or empty text: no words, so it fails the base rule of 20 words; an empty table stays empty. Repeated rows are judged alike, each by
+itself, whatever their id. Rules that tie in the plan are taken by name.
 Texts of any length are read whole; the work is linear, or n log n in the repeated windows of one document.
 """
 
@@ -21,8 +22,8 @@ from sparkloom.llm.common import SPACE, Tables, let, words_sql
 
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
-#: Rows at most, of so many bytes at most, on which costs and selectivities are measured.
-SAMPLE_ROWS, SAMPLE_BYTES = 1000, 1 << 16
+#: Rows or so, drawn from the whole table, on which costs and selectivities are measured.
+SAMPLE_ROWS = 1000
 
 
 def _repeat_words() -> str:
@@ -86,14 +87,13 @@ RULES = (
 
 
 def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per second on the first ``sample_rows`` rows of a usual length, best first; ties by name.
+    """The rules by rejections per second on about ``sample_rows`` rows, best first; ties by name.
 
-    The sample is taken from the first partitions that have it and written once.
+    Each row of the table, of any length, is as likely in the sample as any other: one scan draws it, on the executors, and
+    writes it once.
     """
-    spark = docs.sparkSession
-    tables = Tables(spark, "quality")
-    taken = docs.select("text").where(f"octet_length(text) <= {SAMPLE_BYTES}").take(sample_rows)
-    written = tables.write(spark.createDataFrame([(r["text"],) for r in taken], "text string"))
+    tables = Tables(docs.sparkSession, "quality")
+    written = tables.write(docs.select("text").sample(min(1.0, sample_rows / max(1, docs.count())), seed=11))
     sample = features(written).drop("row")
     scored = []
     for rule in rules:

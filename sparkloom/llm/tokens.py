@@ -1,11 +1,14 @@
 """Token counts with the tokenizers library, in Arrow functions that return lengths only.
 
-Texts are cut at safe boundaries into pieces of about ``PIECE_CHARS`` and encoded in calls of at most ``CALL_BYTES``, so a call's
-memory is bounded by bytes, not rows. A boundary is safe where an ASCII letter, one space and an ASCII letter meet: the
-byte-level pattern always starts a new pre-token at such a space, merges never leave a pre-token, and no special token holds a
-space, so the pieces' lengths add up to the text's. A text without such a place is encoded whole. One map, no shuffle.
-
-Null or empty text: 0 bytes, 0 tokens. Each row is counted by itself; repeated rows give repeated results.
+Texts are cut at safe boundaries into pieces of about ``PIECE_BYTES`` of UTF-8 and encoded in calls of at most ``CALL_BYTES``, so a call's
+memory is bounded by bytes, not rows. A boundary is safe behind a letter that something other than a letter follows: in the
+byte-level pattern a run of letters, with a space before it, is always a pre-token that ends there; merges never leave a pre-token;
+and the pattern never looks back. So the pieces' lengths add up to the text's. Letters are those of ``_LETTERS``, scripts with cases or
+without; what may follow is white space, digits and punctuation. No boundary lies within or beside a special token's
+string. A text without such a place, one run of letters or of blanks, is a single pre-token or nearly so, and is encoded whole. One map, no shuffle.
+
+Null or empty text: 0 bytes, 0 tokens; an empty table gives an empty result. Each row is counted by itself; repeated rows, and rows of one
+or no id, give each its own result. There are no ties.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import slices
 
-PIECE_CHARS, CALL_BYTES = 1 << 15, 1 << 19
-_SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+PIECE_BYTES, CALL_BYTES = 1 << 15, 1 << 19
+#: Letters of every Unicode version: Latin, Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana, Han, Hangul.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01ba\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u0904-\u0939\u0e01-\u0e30\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_SAFE = re.compile(f"(?<=[{_LETTERS}])(?=[\\x20-\\x40\\x5b-\\x60\\x7b-\\x7e\\t\\n\\r\u3001\u3002\uff0c\uff01\uff1f\uff1a\uff1b\u300c\u300d\u0964])")
 
 
 @lru_cache(maxsize=4)
@@ -36,11 +41,24 @@ def _tokenizer(path: str):
     return out
 
 
-def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
-    at = 0
-    while len(text) - at > size and (m := _SAFE.search(text, at + size)):
-        yield text[at : m.start()]
-        at = m.start()
+@lru_cache(maxsize=4)
+def _special(path: str) -> tuple[str, ...]:
+    return tuple(t.content for t in _tokenizer(path).get_added_tokens_decoder().values())
+
+
+def pieces(text: str, path: str, size: int = PIECE_BYTES) -> Iterator[str]:
+    """The text in pieces of ``size`` bytes of UTF-8 or a little more, where it has safe boundaries."""
+    n_bytes = len(text.encode())
+    step = max(1, size * len(text) // max(1, n_bytes))  # characters of a piece
+    special, at, seek = _special(path), 0, step
+    while n_bytes > size and len(text) - at > step and (m := _SAFE.search(text, seek)):
+        cut = m.start()
+        near = text[max(0, cut - 64) : cut + 64]
+        if any(s in near for s in special):
+            seek = cut + 1
+            continue
+        yield text[at:cut]
+        at, seek = cut, cut + step
     yield text[at:]
 
 
@@ -57,13 +75,14 @@ def count_batch(texts: list[str | None], path: str) -> list[int]:
         owners.clear()
 
     for i, text in enumerate(texts):
-        for part in pieces(text) if text else ():
-            if parts and held + len(part) > CALL_BYTES:
+        for part in pieces(text, path) if text else ():
+            n_bytes = len(part.encode())
+            if parts and held + n_bytes > CALL_BYTES:
                 flush()
                 held = 0
             parts.append(part)
             owners.append(i)
-            held += len(part)
+            held += n_bytes
     if parts:
         flush()
     return out

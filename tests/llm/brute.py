@@ -110,3 +110,46 @@ def base_spans(t):
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
     out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m)) <= 19 and luhn(digits(m))]
     return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m)) <= 15]
+
+
+def language(model, text, rounds=12, penalty=4.0, least=0.05):
+    """Proportions and score by plain loops over the text's trigrams one by one."""
+    import math
+
+    from sparkloom.llm.language import trigrams
+
+    seen = [int(b) for b in trigrams(text)]
+    like = [[float(model.likelihood[b][i]) for i in range(len(model.languages))] for b in seen]
+
+    def mix(who):
+        share = dict.fromkeys(who, 1 / len(who))
+        for _ in range(rounds):
+            got = dict.fromkeys(who, 0.0)
+            for row in like:
+                total = sum(share[i] * row[i] for i in who)
+                for i in who:
+                    got[i] += share[i] * row[i] / total
+            share = {i: got[i] / len(seen) for i in who}
+        return share, sum(math.log(sum(share[i] * row[i] for i in who)) for row in like)
+
+    everyone = range(len(model.languages))
+    alone = [sum(math.log(row[i]) for row in like) for i in everyone]
+    cost = penalty * math.log(len(seen) + 1)
+    share, _ = mix(list(everyone))
+    chosen = [max(everyone, key=lambda i: (alone[i], -i))]
+    value, best = {chosen[0]: 1.0}, alone[chosen[0]]
+    for i in sorted(everyone, key=lambda i: (-share[i], i)):
+        if i in chosen:
+            continue
+        if share[i] < least:
+            break
+        more, score = mix([*chosen, i])
+        if score - best <= cost:
+            break
+        chosen, value, best = [*chosen, i], more, score
+    order = sorted(chosen, key=lambda i: (-value[i], model.languages[i]))
+    against = [alone[i] for i in everyone if i != order[0]]
+    if order[1:]:
+        against.append(mix(order[1:])[1] - cost * (len(order) - 2))
+    margin = best - cost * (len(order) - 1) - max(against)
+    return [(model.languages[i], value[i]) for i in order], value[order[0]] / (1 + math.exp(-max(-700, min(700, margin))))

@@ -235,6 +235,9 @@ def test_quality(spark, docs):
     df = frame(spark, more, True)
     order = quality.plan(df)
     assert {r.name for r in order} == {r.name for r in quality.RULES}
+    # Texts that one rule rejects, at the end of the table: the sample has them, so the rule comes first.
+    tail = spark.range(0, 3000, 1, 6).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1500, F.lit("fine words go here for all of them to read " * 4)).otherwise(F.lit("words ### " * 40)).alias("text"))
+    assert quality.plan(tail, sample_rows=300)[0].name == "symbols"
     for o in (order, order[::-1]):
         assert rows(quality.score(df, o), *names) == want
     assert sorted(r[0] for r in quality.keep(df).select("doc_id").collect()) == sorted(x[0] for x in want if x[-1])
@@ -248,8 +251,13 @@ def test_tokens(spark, docs):
     more = docs + [(9001, "a<|endoftext|>b <|endoftext|>"), (9002, ("Some words, and more 12 34.\n\n  x " * 4000))]
     want = [(d, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 1024) for d, x in more]
     assert rows(tokens.count_tokens(frame(spark, more, True), BYTES), "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(want, key=repr)
+    count = lambda x: len(t.encode(x, add_special_tokens=False).ids)
+    other = ["这是一个句子。那是另一个,真的!" * 9, "Это слово, и ещё 12 слов: да.", "ひらがなとカタカナ、漢字。" * 5, "if(a==b){return c['d'].e(f,g)}else{h=1}" * 4, "don't we'll it's I'm", "x  y\n\n z\t", "नमस्ते दुनिया। ठीक", "a<|endoftext|>b<|endoftext|> c", "مرحبا، بالعالم", "é́a b", "한국어 문장, 이다."]
     for size in (1, 7, 60):
-        assert all("".join(tokens.pieces(x, size)) == x and sum(tokens.count_batch(list(tokens.pieces(x, size)), BYTES)) == len(t.encode(x, add_special_tokens=False).ids) for _, x in docs if x and len(x) < 3000)
+        for x in other + [x for _, x in docs if x and len(x) < 3000]:
+            cut = list(tokens.pieces(x, BYTES, size))
+            assert "".join(cut) == x and sum(map(count, cut)) == count(x), x
+    assert max(len(p.encode()) for p in tokens.pieces("一句话。" * 100_000, BYTES)) < 2 * tokens.PIECE_BYTES
 
 
 def test_sentencepieces(spark, docs, monkeypatch):
@@ -280,11 +288,19 @@ def test_language(spark):
         assert got[d]["lang_pred"] == lang and 0.5 < got[d]["score"] <= 1
         assert got[d]["held_out"] == (crc32(str(d).encode()) % 5 == 0)
     assert [got[d]["lang_pred"] for d in (900, 901, 902)] == ["und"] * 3 and got[None]["lang_pred"] == "en"
+    model = language.learn(spark.createDataFrame(data, SCHEMA))
+    for d, text in ((0, data[0][1]), (1, data[1][1]), (903, data[183][1]), (904, "a"), (905, "the the und")):
+        said, score = model.infer(text)
+        want, sure = brute.language(model, text)
+        assert [x for x, _ in said] == [x for x, _ in want] and abs(score - sure) < 1e-6 and all(abs(u - v) < 1e-6 for (_, u), (_, v) in zip(said, want, strict=True))
+    assert model.infer("a")[1] < 0.9 < model.infer(data[0][1])[1]
     mixed = dict(x.split(":") for x in got[903]["languages"].split(","))
     assert set(mixed) == {"de", "fr"} and abs(float(mixed["fr"]) - 2 / 3) < 0.12
     empty = language.identify(spark.createDataFrame([], SCHEMA))
     assert empty.count() == 0
     assert language.identify(spark.createDataFrame([(1, "abc", None, None, 3)], SCHEMA)).first()["lang_pred"] == "und"
+    with pytest.raises(ValueError, match="languages"):
+        language.learn(spark.range(language.MOST_LANGUAGES * 2).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.col("id").cast("string").alias("lang")))
 
 
 def test_language_on_held_out(spark, sf_dir):
