@@ -199,9 +199,9 @@ def cosine_pairs(spark, sf_dir):
     return e.select(F.col("vec_id").alias("a"), "embedding").join(b, "a").select("a", "b", F.round(stats.cosine("embedding", "eb"), 5).alias("cosine"))
 
 
-@query("WITH p AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: exp(x::DOUBLE)) AS e FROM embeddings) SELECT vec_id, round(list_max(e) / list_sum(e), 5) AS top, round(-list_sum(list_transform(e, lambda x: x / list_sum(e) * ln(x / list_sum(e)))) / ln(8), 5) AS entropy FROM p")
+@query("WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE)) AS e FROM embeddings) SELECT vec_id, round(list_max(e) / list_sum(e), 5) AS top, round(-list_sum(list_transform(e, lambda x: x / list_sum(e) * ln(x / list_sum(e)))) / ln(len(e)), 5) AS entropy FROM p")
 def softmax_entropy(spark, sf_dir):
-    p = table(spark, sf_dir, "embeddings").select("vec_id", stats.softmax("slice(embedding, 1, 8)").alias("p"))
+    p = table(spark, sf_dir, "embeddings").select("vec_id", stats.softmax("embedding").alias("p"))
     return p.select("vec_id", F.round(F.array_max("p"), 5).alias("top"), F.round(stats.entropy("p"), 5).alias("entropy"))
 
 
@@ -211,40 +211,59 @@ def rms_by_group(spark, sf_dir):
     return x.groupBy("label").agg(F.round(stats.rms("x"), 5).alias("rms"))
 
 
+#: Vectors of a block: four layers of ten positions.
+_BLOCK = 40
+
+
 def _attention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of eight positions a vector: dot products of two coordinates."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 40").select((F.col("vec_id") % 4).cast("int").alias("layer"), F.floor(F.col("vec_id") / 4).cast("int").alias("q"), F.col("embedding")[0].cast("double").alias("x"))
-    k = e.select("layer", F.col("q").alias("k"), F.col("x").alias("y"))
-    return e.join(k, "layer").select("layer", "q", "k", (F.col("x") * F.col("y")).alias("score"))
+    """Scores among the ten positions of each layer of a block of forty vectors: dot products. Every vector is a position of one block."""
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / _BLOCK).cast("int").alias("block"), (F.col("vec_id") % 4).cast("int").alias("layer"), F.floor(F.col("vec_id") % _BLOCK / 4).cast("int").alias("q"), F.expr("transform(embedding, x -> cast(x as double))").alias("x"))
+    k = e.select("block", "layer", F.col("q").alias("k"), F.col("x").alias("y"))
+    return e.join(k, ["block", "layer"]).where("k <= q").select("block", "layer", "q", "k", F.expr(stats.dot("x", "y")).alias("score"))
+
+
+def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.causal_attention(_attention(spark, sf_dir), ["block", "layer"])
 
 
-_ATT = """a AS (SELECT CAST(vec_id % 4 AS INT) AS layer, CAST(vec_id // 4 AS INT) AS q, embedding[1]::DOUBLE AS x FROM embeddings WHERE vec_id < 40),
-s AS (SELECT a.layer, a.q, b.q AS k, exp(a.x * b.x) AS e FROM a JOIN a b ON a.layer = b.layer AND b.q <= a.q), w AS (SELECT layer, q, k, e / sum(e) OVER (PARTITION BY layer, q) AS weight FROM s)"""
+def _regions(spark: SparkSession) -> DataFrame:
+    return spark.range(_BLOCK // 4).select(F.col("id").cast("int").alias("k"), F.expr("IF(id < 3, 'head', 'tail')").alias("region"))
 
 
-@query(f"WITH {_ATT} SELECT layer, q, k, round(weight, 6) AS weight FROM w")
+_ATT = f"""a AS (SELECT CAST(vec_id // {_BLOCK} AS INT) AS block, CAST(vec_id % 4 AS INT) AS layer, CAST(vec_id % {_BLOCK} // 4 AS INT) AS q, embedding::DOUBLE[] AS x FROM embeddings),
+s AS (SELECT a.block, a.layer, a.q, b.q AS k, exp(list_dot_product(a.x, b.x)) AS e FROM a JOIN a b ON a.block = b.block AND a.layer = b.layer AND b.q <= a.q), w AS (SELECT block, layer, q, k, e / sum(e) OVER (PARTITION BY block, layer, q) AS weight FROM s)"""
+
+
+@query(f"WITH {_ATT} SELECT block, layer, q, k, round(weight, 6) AS weight FROM w")
 def causal_attention(spark, sf_dir):
-    return stats.causal_attention(_attention(spark, sf_dir), ["layer"]).withColumn("weight", F.round("weight", 6))
+    return _weights(spark, sf_dir).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"""WITH {_ATT}, i AS (SELECT layer, q, k, CASE WHEN q = k THEN weight + 1 ELSE weight END / 2 AS w FROM w), r1 AS (SELECT b.q, a.k, sum(b.w * a.w) AS w FROM i b JOIN i a ON a.layer = 0 AND b.layer = 1 AND a.q = b.k GROUP BY 1, 2),
-r2 AS (SELECT b.q, a.k, sum(b.w * a.w) AS w FROM i b JOIN r1 a ON b.layer = 2 AND a.q = b.k GROUP BY 1, 2), r3 AS (SELECT b.q, a.k, sum(b.w * a.w) AS w FROM i b JOIN r2 a ON b.layer = 3 AND a.q = b.k GROUP BY 1, 2) SELECT q, k, round(w, 6) AS weight FROM r3""")
+@query(f"""WITH {_ATT}, i AS (SELECT block, layer, q, k, CASE WHEN q = k THEN weight + 1 ELSE weight END / 2 AS w FROM w), r1 AS (SELECT block, b.q, a.k, sum(b.w * a.w) AS w FROM i b JOIN i a USING (block) WHERE a.layer = 0 AND b.layer = 1 AND a.q = b.k GROUP BY 1, 2, 3),
+r2 AS (SELECT block, b.q, a.k, sum(b.w * a.w) AS w FROM i b JOIN r1 a USING (block) WHERE b.layer = 2 AND a.q = b.k GROUP BY 1, 2, 3), r3 AS (SELECT block, b.q, a.k, sum(b.w * a.w) AS w FROM i b JOIN r2 a USING (block) WHERE b.layer = 3 AND a.q = b.k GROUP BY 1, 2, 3) SELECT block, q, k, round(w, 6) AS weight FROM r3""")
 def attention_rollout(spark, sf_dir):
-    w = stats.causal_attention(_attention(spark, sf_dir), ["layer"])
-    return stats.attention_rollout(w, 4).select("q", "k", F.round("weight", 6).alias("weight"))
+    return stats.attention_rollout(_weights(spark, sf_dir), 4, ["block"]).select("block", "q", "k", F.round("weight", 6).alias("weight"))
 
 
-@query(f"""WITH {_ATT}, h AS (SELECT layer, q, CASE WHEN k < 3 THEN 'head' ELSE 'tail' END AS region, sum(weight) AS mass, count(*) AS n FROM w GROUP BY 1, 2, 3) SELECT layer, q, region, round(mass, 6) AS mass, n, round(n / (q + 1), 6) AS expected, round(mass / (n / (q + 1)), 5) AS ratio FROM h""")
+@query(f"""WITH {_ATT}, h AS (SELECT block, layer, q, CASE WHEN k < 3 THEN 'head' ELSE 'tail' END AS region, sum(weight) AS mass, count(*) AS n FROM w GROUP BY 1, 2, 3, 4) SELECT block, layer, q, region, round(mass, 6) AS mass, n, round(n / (q + 1), 6) AS expected, round(mass / (n / (q + 1)), 5) AS ratio FROM h""")
 def region_mass(spark, sf_dir):
-    w = stats.causal_attention(_attention(spark, sf_dir), ["layer"])
-    regions = spark.range(10).select(F.col("id").cast("int").alias("k"), F.expr("IF(id < 3, 'head', 'tail')").alias("region"))
-    out = stats.region_mass(w, regions, ["layer", "q"])
-    return out.select("layer", "q", "region", F.round("mass", 6).alias("mass"), "n", F.round("expected", 6).alias("expected"), F.round("ratio", 5).alias("ratio"))
+    out = stats.region_mass(_weights(spark, sf_dir), _regions(spark), ["block", "layer", "q"])
+    return out.select("block", "layer", "q", "region", F.round("mass", 6).alias("mass"), "n", F.round("expected", 6).alias("expected"), F.round("ratio", 5).alias("ratio"))
 
 
-@query(f"WITH {_ATT} SELECT layer, q, k, CAST(r AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY layer, q ORDER BY weight DESC, k) AS r FROM w) WHERE r <= 3")
+@query(f"WITH {_ATT} SELECT block, layer, q, k, CAST(r AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY block, layer, q ORDER BY weight DESC, k) AS r FROM w) WHERE r <= 3")
 def attention_top_hits(spark, sf_dir):
-    return stats.top_hits(stats.causal_attention(_attention(spark, sf_dir), ["layer"]), ["layer", "q"], 3).select("layer", "q", "k", "place")
+    return stats.top_hits(_weights(spark, sf_dir), ["block", "layer", "q"], 3).select("block", "layer", "q", "k", "place")
+
+
+@query("""WITH m AS (SELECT label, d, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS d FROM embeddings) GROUP BY 1, 2), v AS (SELECT label, list(x ORDER BY d) AS v FROM m GROUP BY 1)
+SELECT a.label AS a, b.label AS b, round(list_cosine_similarity(a.v, b.v), 5) AS cosine FROM v a, v b""")
+def cosine_matrix(spark, sf_dir):
+    """Cosines of the mean vectors of all labels: a matrix of as many rows and columns as there are labels."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("d", "x"))
+    means = e.groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    v = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
+    return stats.cosine_matrix(v, "label", "v").withColumn("cosine", F.round("cosine", 5))
 
 
 @query("SELECT v AS packed, array_to_string(list_transform([0, 4, 1, 5, 2, 6, 3, 7], lambda o: (v >> (4 * o)) & 15), ',') AS nibbles FROM (SELECT CAST((p_partkey * 2654435761) % 2147483647 AS BIGINT) AS v FROM part)")
@@ -259,18 +278,37 @@ def parameter_count(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", stats.parameter_count(F.lit(2048), w, F.lit(6), w * 4).alias("parameters"))
 
 
-@query("WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: exp(x::DOUBLE)) AS e, (vec_id % 100) / 100.0::DOUBLE AS u FROM embeddings) SELECT vec_id, CASE WHEN u < e[1] / list_sum(e) THEN 0 WHEN u < (e[1] + e[2]) / list_sum(e) THEN 1 WHEN u < (e[1] + e[2] + e[3]) / list_sum(e) THEN 2 ELSE 3 END AS token FROM e")
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE)) AS e, (vec_id % 100) / 100.0::DOUBLE AS u FROM embeddings), p AS (SELECT vec_id, u, len(e) AS n, list_transform(range(1, len(e) + 1), lambda i: list_sum(e[1:i]) / list_sum(e)) AS c FROM e)
+SELECT vec_id, CAST(least(n - 1, len(list_filter(c, lambda x: x <= u))) AS INT) AS token FROM p""")
 def inverse_cdf_sampling(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", stats.softmax("slice(embedding, 1, 4)").alias("p"), ((F.col("vec_id") % 100) / 100.0).alias("u"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", stats.softmax("embedding").alias("p"), ((F.col("vec_id") % 100) / 100.0).alias("u"))
     return e.select("vec_id", stats.draw("p", "u").alias("token"))
 
 
-@query("WITH e AS (SELECT a.vec_id AS id, a.embedding[1:16]::DOUBLE[] AS x, b.embedding[1:16]::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id) SELECT id, round(list_max(list_transform(range(1, 17), lambda i: abs(x[i] - y[i]))), 5) AS max_diff, round(list_avg(list_transform(range(1, 17), lambda i: abs(x[i] - y[i]))), 5) AS mean_diff, list_position(x, list_max(x)) = list_position(y, list_max(y)) AS same_top, round(list_reverse_sort(x)[1] - list_reverse_sort(x)[2], 5) AS margin FROM e")
+@query("""WITH e AS (SELECT a.vec_id AS id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id), d AS (SELECT *, list_transform(range(1, len(x) + 1), lambda i: abs(x[i] - y[i])) AS d FROM e)
+SELECT id, round(list_max(d), 5) AS max_diff, round(list_avg(d), 5) AS mean_diff, round(sqrt(list_avg(list_transform(d, lambda v: v * v))), 5) AS rms_diff, list_position(x, list_max(x)) = list_position(y, list_max(y)) AS same_top, round(list_reverse_sort(x)[1] - list_reverse_sort(x)[2], 5) AS margin,
+  CAST(len(list_intersect(list_reverse_sort(x)[1:5].list_transform(lambda v: list_position(x, v)), list_reverse_sort(y)[1:5].list_transform(lambda v: list_position(y, v)))) AS INT) AS top5_kept FROM d""")
 def logit_metrics(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 16).alias("x"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"))
     j = e.select(F.col("vec_id").alias("id"), "x").join(e.select((F.col("vec_id") - 1).alias("id"), F.col("x").alias("y")), "id")
     m = stats.logit_metrics("x", "y")
-    return j.select("id", F.round(m["max_diff"], 5).alias("max_diff"), F.round(m["mean_diff"], 5).alias("mean_diff"), m["same_top"].alias("same_top"), F.round(m["margin"], 5).alias("margin"))
+    return j.select("id", *[F.round(m[c], 5).alias(c) for c in ("max_diff", "mean_diff", "rms_diff", "margin")], m["same_top"].alias("same_top"), m["top5_kept"].alias("top5_kept"))
+
+
+@query("""WITH e AS (SELECT a.vec_id AS id, list_transform(a.embedding, lambda x: exp(x::DOUBLE)) AS x, list_transform(b.embedding, lambda x: exp(x::DOUBLE)) AS y FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id)
+SELECT id, round(list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] / list_sum(x) * ln((x[i] / list_sum(x)) / (y[i] / list_sum(y))))), 5) AS kl FROM e""")
+def kl_of_neighbours(spark, sf_dir):
+    """Divergence of each vector's softmax from the next one's."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", stats.softmax("embedding").alias("p"))
+    j = e.select(F.col("vec_id").alias("id"), "p").join(e.select((F.col("vec_id") - 1).alias("id"), F.col("p").alias("q")), "id")
+    return j.select("id", F.round(stats.kl_divergence("p", "q"), 5).alias("kl"))
+
+
+@query("SELECT vec_id, array_to_string(list_transform(range(1, len(embedding) + 1), lambda i: CAST((i * 7 + vec_id) % 16 - (i - 1) // 8 AS BIGINT) * CAST(1 + (i - 1) // 8 AS BIGINT)), ',') AS weights FROM embeddings")
+def dequantise_groups(spark, sf_dir):
+    """Four-bit numbers of as many places as a vector has, with a zero and a scale for each eight."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("transform(sequence(1, size(embedding)), i -> cast((i * 7 + vec_id) % 16 as bigint))").alias("v"), F.expr("transform(sequence(0, (size(embedding) - 1) div 8), i -> cast(i as bigint))").alias("z"), F.expr("transform(sequence(0, (size(embedding) - 1) div 8), i -> cast(i + 1 as bigint))").alias("s"))
+    return e.select("vec_id", F.array_join(F.transform(stats.dequantise("v", "z", "s", 8), lambda x: x.cast("string")), ",").alias("weights"))
 
 
 @query("SELECT l_orderkey, array_to_string(list_concat(ids, list_transform(range(0, 20 - len(ids)), lambda i: 0)), ',') AS input_ids, array_to_string(list_concat(list_concat([-100, -100][1:least(2, len(ids))], ids[3:]), list_transform(range(0, 20 - len(ids)), lambda i: -100)), ',') AS labels FROM (SELECT l_orderkey, xs AS ids FROM (WITH " + CASES + " SELECT * FROM cases))")
@@ -362,15 +400,15 @@ def text_normalisation(spark, sf_dir):
 
 @query(None)
 def closest_benchmark_text(spark, sf_dir):
-    """Of each benchmark item the next items' closest text."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    o = b.select("item_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("d"), F.col("text").alias("other")).withColumn("item_id", F.col("item_id") - F.col("d"))
-    return text.closest_text(b.join(o, "item_id"), "item_id", "text", "other").select("item_id", F.sha2("other", 256).alias("other"), F.round("ratio", 9).alias("ratio"))
+    """Of each benchmark item the closest text among the others of its key, the last digit of its id."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 10).alias("key"), "text")
+    return text.closest_of_key(b, "item_id", "key", "text").select("item_id", "other", F.round("ratio", 9).alias("ratio"))
 
 
 # ---- sandbox
 
-@query(None)
+@query("""SELECT 'combined-' || lpad(CAST(i AS VARCHAR), 6, '0') AS spec_id, true AS passed, 'pass' AS reason, CAST(41 AS INT) AS tests_passed FROM range(1, 25) t(i), range(2) v
+UNION ALL VALUES ('bad-mismatch', false, 'output_mismatch', 2), ('bad-mutation', false, 'input_mutation', 1), ('bad-import', false, 'contract_signature', 0), ('bad-syntax', false, 'syntax_error', 0), ('bad-runtime', false, 'runtime_error', 1), ('bad-signature', false, 'contract_signature', 0)""")
 def verify_sandbox(spark, sf_dir):
     """Rendered code of every atomic operation and some faulty ones, run in isolation against the interpreter."""
     one = render.variants(specs.permutations(specs.atomic_table(spark), 1), True, limit=2, seed=1)
@@ -385,11 +423,33 @@ def verify_sandbox(spark, sf_dir):
     return sandbox.verify(rows, "code", "ast", sandbox.build_cases(11, 32)).select("spec_id", "passed", "reason", "tests_passed")
 
 
-@query(None)
+# Codes and what each policy says of them: null where they may run.
+_CODES = {
+    "ok": ("return sorted(xs)", None, None, None),
+    "call": ("return eval('xs')", "contract_call", "contract_call", "contract_call"),
+    "dunder": ("return xs.__class__", "contract_attribute", "contract_attribute", "contract_node"),
+    "power": ("return [x ** 9 for x in xs]", "contract_exponent", None, "contract_exponent"),
+    "continue": ("for x in xs:\n        continue\n    return xs", "contract_node", None, None),
+    "break": ("for x in xs:\n        break\n    return xs", "contract_node", None, None),
+    "pass": ("pass\n    return xs", "contract_node", None, None),
+    "division": ("return [x / 2 for x in xs]", "contract_node", None, "contract_node"),
+    "plus": ("return [+x for x in xs]", "contract_node", None, None),
+    "generator": ("return list(x for x in xs)", "contract_node", "contract_node", None),
+    "membership": ("return [x for x in xs if x in [1, 2]]", "contract_node", "contract_node", None),
+    "append": ("ys = []\n    ys.append(k)\n    return ys", "contract_call", None, "contract_call"),
+    "text": ("return 'xs'", "contract_constant", None, "contract_constant"),
+    "zip": ("return [x for x in zip(xs, xs)]", "contract_call", "contract_call", None),
+    "unknown": ("return ys", None, "contract_name", None),
+    "lambda": ("f = lambda: xs\n    return xs", "contract_node", "contract_node", "contract_node"),
+    "syntax": ("return (", "syntax_error", "syntax_error", "syntax_error"),
+}
+_SAID = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in (name, *said)) + ")" for name, (_, *said) in _CODES.items())
+
+
+@query(f"SELECT * FROM (VALUES {_SAID}, ('bare', 'contract_signature', NULL, NULL)) t(name, strict, benchmark, browser)")
 def static_checks(spark, sf_dir):
-    codes = {"ok": render.HEAD + "    return sorted(xs)\n", "call": render.HEAD + "    return eval('xs')\n", "dunder": render.HEAD + "    return xs.__class__\n", "power": render.HEAD + "    return [x ** 9 for x in xs]\n"}
-    d = spark.createDataFrame(list(codes.items()), "name string, code string")
-    return d.select("name", *[sandbox.static_check("code", p).alias(p) for p in sandbox.POLICIES])
+    codes = [(name, f"{render.HEAD}    {code}\n") for name, (code, *_) in _CODES.items()] + [("bare", "def solve(xs, k):\n    return xs\n")]
+    return spark.createDataFrame(codes, "name string, code string").select("name", *[sandbox.static_check("code", p).alias(p) for p in sandbox.POLICIES])
 
 
 @query(None)
@@ -410,24 +470,23 @@ def epoch_metrics(spark, sf_dir):
     return metrics.epoch_metrics(train, validation, 64)
 
 
-@query(f"""WITH {_ATT}, r AS (SELECT layer % 2 AS variant, layer AS head, q AS step, CASE WHEN k < 3 THEN 'head' ELSE 'tail' END AS region, sum(weight) AS mass FROM w GROUP BY 1, 2, 3, 4),
-n AS (SELECT layer % 2 AS variant, count(DISTINCT (layer, q)) AS n FROM w GROUP BY 1) SELECT variant, region, round(sum(mass) / any_value(n), 6) AS mass FROM r JOIN n USING (variant) GROUP BY 1, 2""")
+@query(f"""WITH {_ATT}, r AS (SELECT layer % 2 AS variant, block, layer AS head, q AS step, CASE WHEN k < 3 THEN 'head' ELSE 'tail' END AS region, sum(weight) AS mass FROM w GROUP BY 1, 2, 3, 4, 5),
+n AS (SELECT layer % 2 AS variant, count(DISTINCT (block, layer, q)) AS n FROM w GROUP BY 1) SELECT variant, region, round(sum(mass) / any_value(n), 6) AS mass FROM r JOIN n USING (variant) GROUP BY 1, 2""")
 def variant_regions(spark, sf_dir):
-    w = stats.causal_attention(_attention(spark, sf_dir), ["layer"]).select((F.col("layer") % 2).alias("variant"), F.col("layer").alias("head"), F.col("q").alias("step"), "k", "weight")
-    regions = spark.range(10).select(F.col("id").cast("int").alias("k"), F.expr("IF(id < 3, 'head', 'tail')").alias("region"))
-    return metrics.variant_regions(w, regions).withColumn("mass", F.round("mass", 6))
+    w = _weights(spark, sf_dir).select((F.col("layer") % 2).alias("variant"), F.struct("block", "layer").alias("head"), F.col("q").alias("step"), "k", "weight")
+    return metrics.variant_regions(w, _regions(spark)).withColumn("mass", F.round("mass", 6))
 
 
-@query("SELECT label AS model, round(avg(embedding[1]::DOUBLE), 6) AS mean, round(min(embedding[1]::DOUBLE), 6) AS least, round(max(embedding[1]::DOUBLE), 6) AS greatest, arg_max(vec_id, embedding[1]) AS best_head FROM embeddings GROUP BY 1")
+@query("WITH e AS (SELECT label AS model, vec_id, list_max(embedding)::DOUBLE AS v FROM embeddings) SELECT model, round(avg(v), 6) AS mean, round(min(v), 6) AS least, round(max(v), 6) AS greatest, arg_max(vec_id, v) AS best_head FROM e GROUP BY 1")
 def head_report(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("model"), F.col("vec_id").alias("head"), F.col("embedding")[0].cast("double").alias("v"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("model"), F.col("vec_id").alias("head"), F.array_max("embedding").cast("double").alias("v"))
     out = metrics.head_report(e, "model", "head", "v")
     return out.select("model", *[F.round(c, 6).alias(c) for c in ("mean", "least", "greatest")], "best_head")
 
 
-@query(f"WITH {_ATT} SELECT layer, q, sum(weight) AS total FROM w GROUP BY 1, 2 HAVING abs(sum(weight) - 1) > 0.0001")
+@query(f"WITH {_ATT} SELECT block, layer, q, sum(weight) AS total FROM w GROUP BY 1, 2, 3 HAVING abs(sum(weight) - 1) > 0.0001")
 def attention_rows_sum(spark, sf_dir):
-    return metrics.unnormalised(stats.causal_attention(_attention(spark, sf_dir), ["layer"]), ["layer", "q"])
+    return metrics.unnormalised(_weights(spark, sf_dir), ["block", "layer", "q"])
 
 
 @query("SELECT lang, round(sum(CASE WHEN n_chars > 500 THEN n_chars END) / count(*) FILTER (WHERE n_chars > 500), 6) AS long_mean, round(sum(CASE WHEN source = 'src0' THEN n_chars END) / nullif(count(*) FILTER (WHERE source = 'src0'), 0), 6) AS src0_mean FROM documents GROUP BY 1")
@@ -449,7 +508,7 @@ def leakage_counts(spark, sf_dir):
     return dedup.leakage_counts(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), {"text": "h", "source": "source"})
 
 
-@query(None)
+@query("SELECT 'set' || i AS set_name, CAST(64 AS BIGINT) AS n, CAST(64 AS BIGINT) AS keys FROM range(6) t(i)")
 def evaluation_sets(spark, sf_dir):
     """Six disjoint input sets, and how many of their cases each has."""
     sets = inputs.input_sets(spark, {f"set{i}": 100 + i for i in range(6)}, 64, set())
@@ -459,12 +518,12 @@ def evaluation_sets(spark, sf_dir):
 @query(None)
 def new_sequences(spark, sf_dir):
     """Drawn four-step sequences that behave like no two-step spec, no one before them and no shorter part of theirs, on 177 fixed inputs."""
-    ops = list(specs.ATOMIC)
+    ops = specs.ATOMIC
     drawn = specs.random_sequences(20261008, 40)
     few = spark.createDataFrame([(f"c{i:03d}", xs, k) for i, (xs, k) in enumerate(inputs.fixed_cases(3))], "case_id string, xs array<bigint>, k int")
     rows = lambda many: spark.createDataFrame([(s, [(ops[p - 1].kind, ops[p - 1].name, ops[p - 1].arg) for p in ps]) for s, ps in many], "spec_id string, ops array<struct<kind:string,name:string,arg:int>>")
-    small = [(s, p) for s, p in ((f"d{i:03d}", p) for i, p in enumerate(drawn)) if 18 not in p]  # squares of four steps leave BIGINT
-    f = lambda many: inputs.fingerprints(inputs.execute(rows(many), few))
+    small = [(f"d{i:03d}", p) for i, p in enumerate(drawn)]
+    f = lambda many: inputs.fingerprints(inputs.execute(rows(many), few, wide=True))
     cut = [(f"{s}/{j}", p[:j] + p[j + 1 :]) for s, p in small for j in range(4)]
     shorter = f(cut).withColumn("spec_id", F.split("spec_id", "/")[0])
     known = f([(f"k{a}-{b}", (a, b)) for a in range(1, 25) for b in range(1, 25) if a != b])

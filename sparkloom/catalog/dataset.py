@@ -138,11 +138,11 @@ def balanced_selection(spark, sf_dir):
     return joins.balanced(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", rank, F.lit(3)).where("selected").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "pick")
 
 
-@query("""SELECT n.n_nationkey, s.doc_id FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation WHERE n_nationkey < 20) n
+@query("""SELECT n.n_nationkey, s.doc_id FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) n
 JOIN (SELECT doc_id, row_number() OVER (ORDER BY sha256('4' || chr(0) || doc_id), doc_id) AS i FROM documents) s USING (i)""")
 def distinct_assignment(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 20").select("n_nationkey", F.lit(1).alias("g"))
-    d = sampling.sample(_docs(spark, sf_dir).select("doc_id"), "doc_id", 100, 4).withColumn("g", F.lit(1))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.lit(1).alias("g"))
+    d = sampling.sample(_docs(spark, sf_dir).select("doc_id"), "doc_id", n.count(), 4).withColumn("g", F.lit(1))
     return joins.assign_distinct(n, d, "g", [F.col("n_nationkey")], [F.col("rank_hash"), F.col("doc_id")]).select("n_nationkey", "doc_id")
 
 

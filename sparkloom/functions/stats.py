@@ -71,6 +71,15 @@ def cosine(a: str, b: str) -> Column:
     return F.expr(f"coalesce({dot(a, b)} / nullif(sqrt({dot(a, a)}) * sqrt({dot(b, b)}), 0D), 0D)")
 
 
+def cosine_matrix(rows: DataFrame, key: str, vector: str, most: int = 2_000) -> DataFrame:
+    """(a, b, cosine) of all pairs of a few rows, ``most`` at most: a full matrix is its own size squared. More rows raise."""
+    if rows.count() > most:
+        raise ValueError(f"a matrix of more than {most} rows")
+    a = rows.select(F.col(key).alias("a"), F.col(vector).alias("va"), F.lit(1).alias("_one"))
+    b = rows.select(F.col(key).alias("b"), F.col(vector).alias("vb"), F.lit(1).alias("_one"))
+    return a.join(F.broadcast(b), "_one").select("a", "b", cosine("va", "vb").alias("cosine"))
+
+
 def softmax(values: str, temperature: float = 1.0) -> Column:
     """Of an array, made stable by its maximum; at temperature 0 the first maximum has it all."""
     if temperature == 0:
@@ -102,15 +111,16 @@ def causal_attention(scores: DataFrame, group: list[str]) -> DataFrame:
     return rows.withColumn("_e", e).withColumn("weight", F.col("_e") / F.sum("_e").over(w)).drop("_e", "score")
 
 
-def attention_rollout(weights: DataFrame, layers: int) -> DataFrame:
-    """(q, k, weight) of the product of row-normalised (A + I) over layers 0..n-1; weights: (layer, q, k, weight), heads averaged."""
-    eye = weights.select("layer", "q").distinct().select("layer", "q", F.col("q").alias("k"), F.lit(1.0).alias("weight"))
-    a = weights.unionByName(eye).groupBy("layer", "q", "k").agg(F.sum("weight").alias("w"))
-    a = a.withColumn("w", F.col("w") / F.sum("w").over(W.partitionBy("layer", "q")))
-    out = a.where("layer = 0").select("q", "k", "w")
+def attention_rollout(weights: DataFrame, layers: int, by: list[str] | None = None) -> DataFrame:
+    """(by, q, k, weight) of the product of row-normalised (A + I) over layers 0..n-1; weights: (by, layer, q, k, weight), heads averaged."""
+    by = by or []
+    eye = weights.select(*by, "layer", "q").distinct().select(*by, "layer", "q", F.col("q").alias("k"), F.lit(1.0).alias("weight"))
+    a = weights.unionByName(eye).groupBy(*by, "layer", "q", "k").agg(F.sum("weight").alias("w"))
+    a = a.withColumn("w", F.col("w") / F.sum("w").over(W.partitionBy(*by, "layer", "q")))
+    out = a.where("layer = 0").select(*by, "q", "k", "w")
     for layer in range(1, layers):
-        left = a.where(f"layer = {layer}").select("q", F.col("k").alias("m"), F.col("w").alias("u"))
-        out = left.join(out.select(F.col("q").alias("m"), "k", "w"), "m").groupBy("q", "k").agg(F.sum(F.col("u") * F.col("w")).alias("w"))
+        left = a.where(f"layer = {layer}").select(*by, "q", F.col("k").alias("m"), F.col("w").alias("u"))
+        out = left.join(out.select(*by, F.col("q").alias("m"), "k", "w"), [*by, "m"]).groupBy(*by, "q", "k").agg(F.sum(F.col("u") * F.col("w")).alias("w"))
     return out.withColumnRenamed("w", "weight")
 
 
@@ -139,16 +149,18 @@ def kl_divergence(p: str, q: str) -> Column:
 
 
 def logit_metrics(a: str, b: str) -> dict[str, Column]:
-    """How two logit arrays differ: greatest, mean and rms absolute difference, same best index, margin of the best of a, the best five's indices."""
+    """How two logit arrays differ: greatest, mean and rms absolute difference, same best index, margin of the best of a, the best five's indices and how many of b's are among them."""
     d = f"zip_with({a}, {b}, (x, y) -> abs(cast(x as double) - cast(y as double)))"
-    order = f"sort_array(transform({a}, (x, i) -> named_struct('v', -cast(x as double), 'i', i)))"
+    places = lambda v: f"sort_array(transform({v}, (x, i) -> named_struct('v', -cast(x as double), 'i', i)))"
+    order, five = places(a), lambda v: f"transform(slice({places(v)}, 1, 5), x -> x.i)"
     return {
         "max_diff": F.expr(f"array_max({d})"),
         "mean_diff": F.expr(f"aggregate({d}, 0D, (s, v) -> s + v) / size({a})"),
         "rms_diff": F.expr(f"sqrt(aggregate({d}, 0D, (s, v) -> s + v * v) / size({a}))"),
         "same_top": F.expr(f"array_position({a}, array_max({a})) = array_position({b}, array_max({b}))"),
         "margin": F.expr(f"{order}[1].v - {order}[0].v"),
-        "top5": F.expr(f"transform(slice({order}, 1, 5), x -> x.i)"),
+        "top5": F.expr(five(a)),
+        "top5_kept": F.expr(f"size(array_intersect({five(a)}, {five(b)}))"),
     }
 
 

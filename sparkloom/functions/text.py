@@ -210,8 +210,11 @@ def distinct_in_order(rows: DataFrame, group: str, value: str, order: str) -> Da
     return rows.groupBy(group, value).agg(F.min(order).alias(order))
 
 
-def closest_text(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """Of each key's pairs of texts the b of greatest Ratcliff-Obershelp ratio (first by text on ties): ratios in an Arrow function."""
+def closest_of_key(rows: DataFrame, item: str, key: str, text: str) -> DataFrame:
+    """Of each item the other one of its key with the greatest Ratcliff-Obershelp ratio (least ``other`` on ties): (item, other, ratio).
+
+    Every pair within a key is compared, the texts of one spec, some dozens; ratios in an Arrow function. An item alone in its key has no row.
+    """
 
     @F.arrow_udf("double")
     def ratio(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -219,8 +222,10 @@ def closest_text(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
 
         return pa.array([None if u is None or v is None else SequenceMatcher(None, u, v).ratio() for u, v in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
 
-    scored = pairs.withColumn("ratio", ratio(a, b))
-    return scored.groupBy(key).agg(F.min_by(F.struct(b, "ratio"), F.struct(-F.col("ratio"), F.col(b))).alias("m")).select(key, "m.*")
+    others = rows.select(key, F.col(item).alias("other"), F.col(text).alias("_text"))
+    scored = rows.select(item, key, text).join(others, key).where(F.col(item) != F.col("other")).withColumn("ratio", ratio(text, "_text"))
+    return scored.groupBy(item).agg(F.min_by(F.struct("other", "ratio"), F.struct(-F.col("ratio"), F.col("other"))).alias("m")).select(item, "m.*")
+
 
 
 def code_tokens(rows: DataFrame, code: str, out: str) -> DataFrame:

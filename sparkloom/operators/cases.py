@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.plans.algebra import MAX_ABS, MAX_K, MAX_LENGTH, interpret_ops
+from sparkloom.plans.algebra import MAX_ABS, MAX_K, MAX_LENGTH, ORDERS, Op, compile_sql, interpret_ops
 
 CASE = "case_id string, xs array<bigint>, k int, tags array<string>"
 
@@ -22,17 +23,32 @@ def boundary_cases() -> list[tuple[list[int], int]]:
     return [([], 1), ([0], 1), ([1], 1), ([-1], 10), ([0, 0, 0], 3), ([-5, -1, 0, 1, 5], 2), ([5, 4, 3, 2, 1], 5), ([1, 1, 2, 2, 3, 3], 10), ([-100, 100], 1)]
 
 
-# What the first elements of a case become, by turns, and its tags; the last two modes sort.
+# The modes of random cases by turns. What a case's first elements become, and its tags. k is the case's k, M the greatest
+# absolute value, R a draw from 1 to M, S one from -M to M, the same in all its places.
 STRATA = (
-    (lambda k, rng: [0, -rng.randint(1, 100)], ["contains_zero", "mixed_sign"]),
-    (lambda k, rng: [k, k - 1, k + 1], ["threshold_equal", "threshold_neighbors"]),
-    (lambda k, rng: [-k, k, k + 1], ["multiples_and_nonmultiples"]),
-    (lambda k, rng: [rng.randint(-MAX_ABS, MAX_ABS)] * 2, ["duplicates"]),
-    (lambda k, rng: [-MAX_ABS, MAX_ABS], ["value_extremes", "mixed_sign"]),
-    (lambda k, rng: [-2, 3, 4], ["parity_mix", "mixed_sign"]),
-    (None, ["already_ascending"]),
-    (None, ["already_descending"]),
+    ("0 -R", "contains_zero mixed_sign"),
+    ("k k-1 k+1", "threshold_equal threshold_neighbors"),
+    ("-k k k+1", "multiples_and_nonmultiples"),
+    ("S S", "duplicates"),
+    ("-M M", "value_extremes mixed_sign"),
+    ("-2 3 4", "parity_mix mixed_sign"),
+    ("ascending", "already_ascending"),
+    ("descending", "already_descending"),
 )
+_TERM = re.compile(r"(-?)(\w+)([+-]\d+)?$")
+
+
+def leading(pattern: str, k: int, rng: random.Random) -> list[int]:
+    """The numbers that a pattern of STRATA names."""
+    known = {"k": k, "M": MAX_ABS}
+    ranges = {"R": (1, MAX_ABS), "S": (-MAX_ABS, MAX_ABS)}
+    out = []
+    for sign, name, plus in (_TERM.match(t).groups() for t in pattern.split()):
+        if name in ranges and name not in known:
+            known[name] = rng.randint(*ranges[name])
+        value = known[name] if name in known else int(name)
+        out.append((-value if sign else value) + int(plus or 0))
+    return out
 
 
 def random_cases(spark: SparkSession, name: str, seed: int, count: int, forbidden: set[str] | None = None) -> DataFrame:
@@ -44,11 +60,11 @@ def random_cases(spark: SparkSession, name: str, seed: int, count: int, forbidde
             break
         mode, n, k = len(rows) % len(STRATA), rng.randint(2, MAX_LENGTH), rng.randint(1, MAX_K)
         xs = [rng.randint(-MAX_ABS, MAX_ABS) for _ in range(n)]
-        start, tags = STRATA[mode]
-        if start is None:
-            xs.sort(reverse="already_descending" in tags)
+        pattern, tags = STRATA[mode][0], STRATA[mode][1].split()
+        if pattern in ORDERS:
+            xs.sort(reverse=pattern == "descending")
         else:
-            lead = start(k, rng)[:n]
+            lead = leading(pattern, k, rng)[:n]
             xs[: len(lead)] = lead
         key = f'{{"k":{k},"xs":[{",".join(map(str, xs))}]}}'
         if key not in taken:
@@ -64,15 +80,21 @@ def unseen(cases: DataFrame, forbidden: DataFrame) -> DataFrame:
     return cases.withColumn("_key", case_key()).join(forbidden.select(case_key().alias("_key")), "_key", "left_anti").drop("_key")
 
 
-def execute(specs: DataFrame, cases: DataFrame) -> DataFrame:
+def execute(specs: DataFrame, cases: DataFrame, wide: bool = False) -> DataFrame:
     """(spec_id, case_id, out): every spec (ops array<struct>) on every case. Cases are some dozens and travel as one array, so the
-    product is made row by row where the specs are, without a shuffle."""
+    product is made row by row where the specs are, without a shuffle. ``wide`` for specs of four operations."""
     packed = [(r["case_id"], r["xs"], r["k"]) for r in cases.select("case_id", "xs", "k").limit(10_001).collect()]
     if len(packed) > 10_000:
         raise ValueError("cases are a small table")
     one = cases.sparkSession.createDataFrame([(packed,)], "cases array<struct<case_id:string,xs:array<bigint>,k:int>>")
     rows = specs.select("spec_id", "ops").withColumn("case", F.explode(one.scalar()))
-    return rows.select("spec_id", F.col("case.case_id").alias("case_id"), interpret_ops("ops", "case.xs", "case.k").alias("out"))
+    return rows.select("spec_id", F.col("case.case_id").alias("case_id"), interpret_ops("ops", "case.xs", "case.k", wide).alias("out"))
+
+
+def execute_all(cases: DataFrame, key: str, specs: dict[str, tuple[Op, ...]]) -> DataFrame:
+    """(spec_id, key, out): a few literal specs on every case of a large table, compiled into it: one scan, no shuffle."""
+    one = F.array(*[F.struct(F.lit(s).alias("spec_id"), F.expr(compile_sql(ops, wide=len(ops) > 3)).alias("out")) for s, ops in specs.items()])
+    return cases.select(key, F.explode(one).alias("r")).select("r.spec_id", key, "r.out")
 
 
 def execution_counts(outputs: DataFrame) -> DataFrame:

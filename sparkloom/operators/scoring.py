@@ -39,9 +39,9 @@ def funnel(rows: DataFrame, group: list[str], stages: tuple[str, ...] = STAGES)
 
 
 def failure_stage(reason: str = "reason") -> Column:
-    """static, runtime, semantic, timeout, or null for a pass."""
+    """static, runtime, semantic, timeout (by the clock, the processor or the step budget), or null for a pass."""
     r = F.col(reason)
-    return F.when(r == "pass", None).when(r.startswith("contract_") | (r == "syntax_error"), "static").when(r == "timeout_or_process_exit", "timeout").when(r.isin("runtime_error", "input_mutation"), "runtime").otherwise("semantic")
+    return F.when(r == "pass", None).when(r.startswith("contract_") | (r == "syntax_error"), "static").when(r.isin("timeout_or_process_exit", "step_budget"), "timeout").when(r.isin("runtime_error", "input_mutation"), "runtime").otherwise("semantic")
 
 
 def reason_report(rows: DataFrame, group: list[str], reason: str, seconds: str) -> DataFrame:

@@ -147,15 +147,20 @@ def compile_ast(ast: dict[str, Any] | str, xs: str = "xs", k: str = "k") -> Colu
     return F.expr(compile_sql(ops, xs, k, wide=len(ops) > 3))
 
 
-def interpret_ops(ops: str = "ops", xs: str = "xs", k: str = "k") -> Column:
-    """Runs a column of operations, array<struct<kind, name, arg>>, on ``xs``; unknown ones and wrong counts raise."""
+def interpret_ops(ops: str = "ops", xs: str = "xs", k: str = "k", wide: bool = False) -> Column:
+    """Runs a column of operations, array<struct<kind, name, arg>>, on ``xs``; unknown ones and wrong counts raise.
+
+    BIGINT holds what three operations make of an input; four need ``wide``, DECIMAL(38, 0).
+    """
+    kind = "array<decimal(38,0)>" if wide else "array<bigint>"
     cases = []
     for op in (*(Op("filter", n) for n in FILTERS), *(Op("map", n) for n in MAPS), *(Op("order", n) for n in ORDERS), *(Op("slice", n) for n in SLICES)):
         body = apply_sql(op, "acc", k).replace("None", "o.arg")
+        body = f"cast({body} as {kind})" if wide and op.kind == "map" else body
         cases.append(f"WHEN o.kind = '{op.kind}' AND o.name = '{op.name}'{' AND o.arg IN (2, 3)' if op.name == 'mul_const' else ''} THEN {body}")
-    unknown = "cast(raise_error(concat('unknown operation ', coalesce(o.kind, 'null'), ' ', coalesce(o.name, 'null'))) as array<bigint>)"
-    run = f"aggregate({ops}, cast({xs} as array<bigint>), (acc, o) -> CASE {' '.join(cases)} ELSE {unknown} END)"
-    return F.expr(f"CASE WHEN size({ops}) BETWEEN 1 AND {MAX_STEPS} THEN {run} ELSE cast(raise_error('a sequence has 1 to {MAX_STEPS} operations') as array<bigint>) END")
+    unknown = f"cast(raise_error(concat('unknown operation ', coalesce(o.kind, 'null'), ' ', coalesce(o.name, 'null'))) as {kind})"
+    run = f"aggregate({ops}, cast({xs} as {kind}), (acc, o) -> CASE {' '.join(cases)} ELSE {unknown} END)"
+    return F.expr(f"CASE WHEN size({ops}) BETWEEN 1 AND {MAX_STEPS} THEN {run} ELSE cast(raise_error('a sequence has 1 to {MAX_STEPS} operations') as {kind}) END")
 
 
 def ops_literal(ops: tuple[Op, ...] | list[Op]) -> str:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 import zipfile
 from collections import Counter
 
@@ -141,11 +142,19 @@ def test_sandbox():
         assert reason("    xs.append(1)\n    return xs\n", "benchmark") == "input_mutation"
         assert reason("    return [x // 0 for x in xs]\n") == "runtime_error"
         assert reason("    return ().__class__\n") == "contract_attribute"
-        assert reason("    return [i for i in range(100000000) if i < 0]\n", "benchmark") == "contract_range"
+        assert reason("    return [i for i in range(1001) if i < 0]\n", "browser") == "runtime_error"
+        assert reason("    for x in range(3):\n        continue\n    pass\n    return [int(+x / 1) for x in xs if x % 2 == 0]\n", "benchmark") == "pass"
+        assert reason("    return [x for x in xs if x % 2 in [0]]\n", "browser") == "pass"
         slow = "    for a in range(1000):\n        for b in range(1000):\n            for c in range(1000):\n                k += 1\n    return xs\n"
         assert reason(slow, "benchmark") == "timeout_or_process_exit"
         assert reason(slow, "browser", 50_000) == "step_budget"
         assert reason("    return [x for x in xs if x % 2 == 0]\n") == "pass"  # after a kill
+        said = child.ask(head + "    while_ = 0\n    for a in range(k * k * k * 10 ** 7):\n        while_ += 1\n    return xs\n", [[[], 0], [[1], 0], [[2], 9]])
+        assert [x["got"] for x in said["out"]] == [[], [1]] and said["error"] == "timeout"  # answers before it count
+        lasting = sandbox.Child(30.0, cpu=1)
+        began = time.monotonic()
+        assert lasting.ask(head + "    for a in range(10 ** 9):\n        k += 1\n    return xs\n", [[[], 1]])["error"] == "timeout" and time.monotonic() - began < 20
+        lasting.close()
     finally:
         child.close()
 
