@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, n-gram Jaccard join, benchmark decontamination, PII, SentencePiece.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next one's docs. All
-but the last return the columns of ``documents``; the last returns a row of token figures for each document that is left.
+but the last return the columns of ``documents``, with further columns, of any name, as they are; the last returns a row of token
+figures for each document that is left. An empty table gives an empty result. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -11,31 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, jaccard, pii, quality, sentencepieces
-from sparkloom.llm.common import Tables
+from sparkloom.llm.common import Tables, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects. A null or empty text is rejected: it has no words."""
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest doc_id, of each group linked at a Jaccard similarity of 0.8 on five-word shingles."""
+    """One document, of the smallest doc_id that is not null, of each group linked at a Jaccard similarity of 0.8 on five-word shingles.
+
+    Rows are compared each by its text, whatever its id. Of rows that repeat id and text one stays; rows without words all stay.
+    """
     return jaccard.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no ten-word window of a benchmark item."""
+    """Documents that hold no ten-word window of a benchmark item; each row by its own text, so a null text stays."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; n_chars follows the text."""
+    """All documents, with personal data replaced by its kind; n_chars follows the text, null for a null one."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count, ids and decoded text (as digests) of each document."""
+    """Token count, ids and decoded text (as digests) of each document; a null text has the end id only."""
     return sentencepieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -55,7 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = Tables(spark, "pipeline")
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = tables.write(stage(spark, docs, sf_dir))
+        with scratch(spark):  # once a stage's rows are written, its operators' tables can go
+            docs = tables.write(stage(spark, docs, sf_dir))
         if before is not None:
             tables.drop(before)
         before = docs
