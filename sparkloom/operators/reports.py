@@ -56,3 +56,9 @@ def foreign_keys(rows: DataFrame, key: str, source: DataFrame, same: list[str])
     for c in same:
         problem = problem.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), f"{c} differs")
     return out.select(key, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def code_report(rows: DataFrame, name: str, code: str, example: str, output: str) -> DataFrame:
+    """(name, section): a section of Markdown a code with its text, an example and what it gives, to be written in the order of names."""
+    section = F.concat(F.lit("## "), F.col(name), F.lit("\n\n```python\n"), F.regexp_replace(code, r"\s+$", ""), F.lit("\n```\n\n"), F.lit("Input: `"), F.col(example), F.lit("`  \nOutput: `"), F.col(output), F.lit("`\n"))
+    return rows.select(name, section.alias("section"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.catalog import algebra, analytics, dataset
+from sparkloom.catalog import algebra, analytics, builds, dataset
 
-_ALL = {**algebra.QUERIES, **dataset.QUERIES, **analytics.QUERIES}
+_ALL = {**algebra.QUERIES, **dataset.QUERIES, **analytics.QUERIES, **builds.QUERIES}
 
 entry = algebra.entry
 

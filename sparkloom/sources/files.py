@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
@@ -20,6 +22,15 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
+def keyed_json_lines(spark: SparkSession, path: str, schema: StructType | str, key: str) -> DataFrame:
+    """``json_lines`` whose ``key`` must be there and unique: a row without one, or with one that another row has, raises when it is read."""
+    rows = json_lines(spark, path, schema)
+    seen = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    out = rows.join(seen, rows[key].eqNullSafe(seen[key]), "inner").drop(seen[key])
+    problem = F.when(F.col(key).isNull(), "a row has no key").when(F.col("_n") > 1, F.concat(F.lit("a key is repeated: "), F.col(key).cast("string")))
+    return out.withColumn("_n", F.when(problem.isNotNull(), F.raise_error(problem).cast("long")).otherwise(F.col("_n"))).where("_n = 1").drop("_n")
+
+
 def zip_member(spark: SparkSession, path: str, member: str, schema: StructType | str) -> DataFrame:
     """Objects in a member of each archive at ``path``: archives are read in parallel, lines of one as a stream; a missing member raises."""
 
@@ -151,3 +162,22 @@ def repeatable_zip(rows: DataFrame, line: Column, order: list[str], member: str,
                 raise ValueError("too many rows for one archive")
             f.write(r["_line"].encode() + b"\n")
     return data.getvalue()
+
+
+def write_review(rows: DataFrame, path: str, columns: list[str], blank: list[str], order: list[str]) -> None:
+    """CSV for people to fill in: ``columns`` in this order, then empty ``blank`` ones, with a header and a byte order mark, in one file.
+
+    A review fits one task; more than 100,000 rows raise.
+    """
+    picked = rows.orderBy(*order).select(*columns, *[F.lit("").alias(c) for c in blank]).limit(100_001)
+    found = picked.collect()
+    if len(found) > 100_000:
+        raise ValueError("more rows than people review")
+    out = io.StringIO()
+    table = csv.writer(out, lineterminator="\n")
+    table.writerow([*columns, *blank])
+    table.writerows([["" if v is None else v for v in r] for r in found])
+    target = Path(path)
+    part = target.with_name(f".{target.name}.part")
+    part.write_text("\ufeff" + out.getvalue(), encoding="utf-8")
+    part.replace(target)
