@@ -43,11 +43,21 @@ def interval_means(rows: DataFrame, step: str, every: int, group: list[str], **m
     return out.groupBy(*group, "interval").agg(F.max(step).alias("last_step"), *[F.avg(c).alias(name) for name, c in means.items()])
 
 
-def average_rank(rows: DataFrame, value: str, group: list[str], name: str = "rank") -> DataFrame:
-    """0-based ranks within a group, the mean rank for ties; computed on distinct values with their counts."""
+def average_rank(rows: DataFrame, value: str, group: list[str], name: str = "rank", pieces: int = 64) -> DataFrame:
+    """0-based ranks within a group, the mean rank for ties; computed on distinct values with their counts.
+
+    A few large groups would be a task each, so the values are cut at approximate quantiles into ``pieces``: counts run on within a piece, and
+    a piece starts from the counts of those before it, ``pieces`` rows a group.
+    """
+    marks = sorted(set(rows.approxQuantile(value, [i / pieces for i in range(1, pieces)], 0.01)))
     per = rows.groupBy(*group, value).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    per = per.withColumn(name, before + (F.col("_n") - 1) / F.lit(2.0)).drop("_n")
+    per = per.withColumn("_piece", F.size(F.filter(F.array(*[F.lit(float(m)) for m in marks]), lambda m: m < F.col(value).cast("double"))) if marks else F.lit(0))
+    totals = per.groupBy(*group, "_piece").agg(F.sum("_n").alias("_all"))
+    start = F.coalesce(F.sum("_all").over(W.partitionBy(*group).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.withColumn("_start", start).drop("_all")
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*group, "_piece").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("_before", before).join(totals, [*group, "_piece"])
+    per = per.select(*group, value, (F.col("_start") + F.col("_before") + (F.col("_n") - 1) / F.lit(2.0)).alias(name))
     return rows.join(per, [*group, value])
 
 
@@ -129,7 +139,7 @@ def region_mass(weights: DataFrame, regions: DataFrame, by: list[str]) -> DataFr
 
     Regions label positions of a prompt, a small table."""
     n = weights.select(*by, "k").distinct().groupBy(*by).agg(F.count("*").alias("keys"))
-    hit = weights.join(F.broadcast(regions), "k").groupBy(*by, "region").agg(F.sum("weight").alias("mass"), F.countDistinct("k").alias("n"))
+    hit = weights.join(regions, "k").groupBy(*by, "region").agg(F.sum("weight").alias("mass"), F.countDistinct("k").alias("n"))
     out = hit.join(n, by).withColumn("expected", F.col("n") / F.col("keys"))
     return out.withColumn("ratio", F.col("mass") / F.col("expected")).drop("keys")
 

@@ -18,8 +18,9 @@ def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def marked_duplicates(rows: DataFrame, text: str, order: str) -> DataFrame:
-    """Adds ``text_hash``, ``first`` (of the rows with this text) and ``is_duplicate``; whole texts are compared, not only hashes."""
-    hashed = rows.withColumn("text_hash", sha(F.coalesce(text, F.lit(""))))
+    """Adds ``text_hash``, ``first`` (of the rows with this text) and ``is_duplicate``. Texts are the same if their SHA-256 is (``collisions`` looks for
+    hashes that lie); null ones are a text of their own."""
+    hashed = rows.withColumn("text_hash", F.coalesce(sha(F.col(text)), F.lit("null")))
     least = hashed.groupBy("text_hash").agg(F.min(order).alias("first"))
     return hashed.join(least, "text_hash").withColumn("is_duplicate", F.col(order) != F.col("first"))
 
@@ -50,16 +51,30 @@ def shingles(tokens: str | Column, size: int) -> Column:
     return F.expr(f"CASE WHEN size({t}) < {size} THEN cast(array() as array<string>) ELSE transform(sequence(0, size({t}) - {size}), i -> array_join(slice({t}, i + 1, {size}), ' ')) END")
 
 
+def gram_hashes(tokens: str, size: int) -> Column:
+    """A hash of each gram that ``shingles`` gives, from the hashes of its tokens, without the gram itself."""
+    gram = "xxhash64(" + ", ".join(f"h[i + {j}]" for j in range(size)) + ")"
+    found = f"transform(array(transform({tokens}, x -> xxhash64(x))), h -> transform(sequence(0, size(h) - {size}), i -> {gram}))[0]"
+    return F.expr(f"CASE WHEN size({tokens}) < {size} THEN cast(array() as array<bigint>) ELSE {found} END")
+
+
 def gram_index(corpus: DataFrame, source: str, tokens: str, size: int) -> DataFrame:
     """(gram_hash, gram, source, offset): of each gram the first (source, offset)."""
-    grams = corpus.select(source, F.posexplode(shingles(tokens, size)).alias("offset", "gram"))
-    return grams.groupBy(F.xxhash64("gram").alias("gram_hash"), "gram").agg(F.min(F.struct(F.col(source).alias("source"), "offset")).alias("at")).select("gram_hash", "gram", "at.source", "at.offset")
+    both = F.expr("arrays_zip(g, h)")
+    grams = corpus.select(source, shingles(tokens, size).alias("g"), gram_hashes(tokens, size).alias("h")).select(source, F.posexplode(both).alias("offset", "z")).select(source, "offset", F.col("z.g").alias("gram"), F.col("z.h").alias("gram_hash"))
+    return grams.groupBy("gram_hash", "gram").agg(F.min(F.struct(F.col(source).alias("source"), "offset")).alias("at")).select("gram_hash", "gram", "at.source", "at.offset")
 
 
 def contamination(rows: DataFrame, key: str, tokens: str, index: DataFrame, size: int) -> DataFrame:
-    """The first gram of each row that the index has: (key, row_offset, gram, source, offset)."""
-    grams = rows.select(key, F.posexplode(shingles(tokens, size)).alias("row_offset", "gram")).withColumn("gram_hash", F.xxhash64("gram"))
-    hit = grams.join(index, ["gram_hash", "gram"])
+    """The first gram of each row that the index has: (key, row_offset, gram, source, offset). Rows have different keys.
+
+    Hashes of grams meet the index first; the grams themselves are made and compared only where one is there.
+    """
+    hashes = rows.select(key, F.posexplode(gram_hashes(tokens, size)).alias("row_offset", "gram_hash"))
+    at = hashes.join(index.select("gram_hash").distinct(), "gram_hash", "left_semi").groupBy(key).agg(F.collect_set("row_offset").alias("_at"))
+    grams = F.expr(f"transform(_at, i -> named_struct('row_offset', i, 'gram', array_join(slice({tokens}, i + 1, {size}), ' ')))")
+    near = rows.select(key, tokens).join(at, key).select(key, F.explode(grams).alias("g")).select(key, "g.row_offset", "g.gram")
+    hit = near.join(index, "gram")
     return hit.groupBy(key).agg(F.min(F.struct("row_offset", "gram", "source", "offset")).alias("m")).select(key, "m.*")
 
 
@@ -99,10 +114,9 @@ def phrase_leaks(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) -
 
 
 def weighted_phrase_counts(texts: DataFrame, text: str, phrases: list[str]) -> DataFrame:
-    """(phrase, n): rows that contain each phrase, counted over distinct texts with their multiplicities."""
-    distinct = texts.groupBy(text).agg(F.count("*").alias("times"))
-    one = distinct.select("times", F.explode(F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(F.col(text), p))).alias("phrase"))
-    return one.groupBy("phrase").agg(F.sum("times").alias("n"))
+    """(phrase, n): rows that contain each phrase: each text as often as it is there. Texts are not shuffled, only phrases with partial counts."""
+    one = texts.select(F.explode(F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(F.col(text), p))).alias("phrase"))
+    return one.groupBy("phrase").agg(F.count("*").alias("n"))
 
 
 def rewrite_duplicates(rows: DataFrame, known: DataFrame, text: str, template: str) -> DataFrame:

@@ -74,7 +74,7 @@ def approve(candidates: DataFrame, reviewer: str, at: str) -> DataFrame:
 
 def phrase_export(release: DataFrame, provenance: DataFrame, ops: DataFrame) -> DataFrame:
     """(op_id, phrases in order, ambiguous): each operation's different phrases; a phrase of several operations is flagged."""
-    rows = release.join(provenance.select("expression_id", "op"), "expression_id").join(F.broadcast(ops), "op").select("op_id", "text", "position")
+    rows = release.join(provenance.select("expression_id", "op"), "expression_id").join(ops, "op").select("op_id", "text", "position")
     n = rows.groupBy("text").agg(F.countDistinct("op_id").alias("_n"))
     first = rows.groupBy("op_id", "text").agg(F.min("position").alias("position")).join(n, "text")
     return first.groupBy("op_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]).alias("phrases"), F.bool_or(F.col("_n") > 1).alias("ambiguous"))
@@ -84,5 +84,5 @@ def reference_examples(mapping: DataFrame, existing: DataFrame, n: int) -> DataF
     """The first n expressions of each source operation for each target. mapping: (target, source); existing: op_id, expression_id, text."""
     from pyspark.sql import Window as W
 
-    out = F.broadcast(mapping).join(existing.withColumnRenamed("op_id", "source"), "source")
+    out = mapping.join(existing.withColumnRenamed("op_id", "source"), "source")
     return out.withColumn("place", F.row_number().over(W.partitionBy("target", "source").orderBy("expression_id"))).where(F.col("place") <= n)

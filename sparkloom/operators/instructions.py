@@ -27,12 +27,12 @@ def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
 
 def unknown_operations(specs: DataFrame, grouped: DataFrame) -> DataFrame:
     """Operations of specs that no expression has."""
-    return specs.select("spec_id", F.explode("ops").alias("op")).join(F.broadcast(grouped.select("op")), "op", "left_anti").select("op").distinct()
+    return specs.select("spec_id", F.explode("ops").alias("op")).join(grouped.select("op"), "op", "left_anti").select("op").distinct()
 
 
 def with_options(specs: DataFrame, grouped: DataFrame) -> DataFrame:
     """specs (spec_id, ast, ops) with the options of each step, in order. The dictionary is a few hundred rows."""
-    steps = specs.select("spec_id", F.posexplode("ops").alias("p", "op")).join(F.broadcast(grouped), "op")
+    steps = specs.select("spec_id", F.posexplode("ops").alias("p", "op")).join(grouped, "op")
     per = steps.groupBy("spec_id").agg(F.array_sort(F.collect_list(F.struct("p", "op_id", "options"))).alias("steps"))
     return specs.join(per, "spec_id")
 

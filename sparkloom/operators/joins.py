@@ -124,19 +124,37 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str)
     return out.select(*by, at, "_row.*", value)
 
 
+#: Groups of buckets that ``as_of_bucketed`` carries values over in.
+CUTS = 256
+
+
+def _cuts(buckets: DataFrame, column: str) -> DataFrame:
+    """(_group, _from, _until): at most CUTS ranges of a column that hold about as many rows each; CUTS rows, whatever the input."""
+    marks = buckets.agg(F.percentile_approx(column, [i / CUTS for i in range(CUTS)], 10_000).alias("m")).select(F.array_sort(F.array_distinct("m")).alias("m"))
+    rows = marks.select("m", F.posexplode("m").alias("_group", "_from"))
+    return rows.select("_group", "_from", F.expr("get(m, _group + 1)").alias("_until"))
+
+
 def as_of_bucketed(left: DataFrame, right: DataFrame, at: str, value: str, bucket: Column) -> DataFrame:
     """``as_of`` without a key: rows are sorted within buckets of ``at``, and each bucket starts from the last value of those before.
 
-    ``bucket`` must not decrease in ``at``. Only a value a bucket is ordered globally, so no task gets all rows.
+    ``bucket`` must not decrease in ``at``. A value a bucket is carried over in two levels, within ``CUTS`` groups of buckets and among the groups,
+    so no task gets all rows, nor all buckets.
     """
     names = [c for c in left.columns if c != at]
     a = left.select(bucket.alias("_b"), at, F.lit(1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_value"))
     b = right.where(F.col(value).isNotNull()).select(bucket.alias("_b"), at, F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col(value).alias("_value"))
     whole = a.unionByName(b)
     last = whole.groupBy("_b").agg(F.max(F.when(F.col("_side") == 0, F.struct(at, "_value")))["_value"].alias("_last"))
-    carried = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))).drop("_last")
+    # Two levels: buckets are carried over within groups of them by quantiles of their order, and groups among themselves.
+    edges = F.broadcast(_cuts(last, "_b"))
+    last = last.join(edges, (F.col("_b") >= F.col("_from")) & (F.col("_until").isNull() | (F.col("_b") < F.col("_until")))).drop("_from", "_until")
+    inner = F.last("_last", ignorenulls=True).over(W.partitionBy("_group").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    ends = last.where("_last IS NOT NULL").groupBy("_group").agg(F.max_by("_last", "_b").alias("_end"))
+    groups = edges.select("_group").join(ends, "_group", "left").withColumn("_start", F.last("_end", ignorenulls=True).over(W.orderBy("_group").rowsBetween(W.unboundedPreceding, -1)))
+    carried = last.withColumn("_inner", inner).join(groups.select("_group", "_start"), "_group").select("_b", F.coalesce("_inner", "_start").alias("_carry"))
     w = W.partitionBy("_b").orderBy(at, "_side", "_value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = whole.withColumn("_in", F.last("_value", ignorenulls=True).over(w)).where("_side = 1").join(F.broadcast(carried), "_b", "left")
+    out = whole.withColumn("_in", F.last("_value", ignorenulls=True).over(w)).where("_side = 1").join(carried, "_b", "left")
     return out.select(at, "_row.*", F.coalesce("_in", "_carry").alias(value))
 
 

@@ -32,7 +32,7 @@ def ticks(most: int, wanted: int = 8) -> list[int]:
 
 def variant_regions(weights: DataFrame, regions: DataFrame) -> DataFrame:
     """Mean attention mass of each region over steps and heads: (variant, region, mass). regions: (region, k), a small table."""
-    per = weights.join(F.broadcast(regions), "k").groupBy("variant", "step", "head", "region").agg(F.sum("weight").alias("mass"))
+    per = weights.join(regions, "k").groupBy("variant", "step", "head", "region").agg(F.sum("weight").alias("mass"))
     n = weights.select("variant", "step", "head").distinct().groupBy("variant").agg(F.count("*").alias("n"))
     return per.groupBy("variant", "region").agg(F.sum("mass").alias("mass")).join(n, "variant").select("variant", "region", (F.col("mass") / F.col("n")).alias("mass"))
 

@@ -89,7 +89,7 @@ def baseline_deltas(rates: DataFrame, variant: str, baseline: str, matched: Data
     out = r.join(F.broadcast(base.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"), "left").withColumn("delta_pp", F.round(100 * (F.col("rate") - F.col("_base")), 6)).drop("_base", "_one")
     if matched is not None:
         other = r.select(F.col(variant).alias("other"), F.col("rate").alias("_other"))
-        out = out.join(F.broadcast(matched), variant, "left").join(F.broadcast(other), "other", "left").withColumn("matched_pp", F.round(100 * (F.col("rate") - F.col("_other")), 6)).drop("_other")
+        out = out.join(matched, variant, "left").join(other, "other", "left").withColumn("matched_pp", F.round(100 * (F.col("rate") - F.col("_other")), 6)).drop("_other")
     return out
 
 
@@ -145,8 +145,10 @@ def model_class(name: str) -> dict[str, Column]:
 
 
 def case_binding(records: DataFrame, shared: DataFrame, targeted: DataFrame) -> DataFrame:
-    """(record_id, case_id, xs, k): every shared case, plus the one targeted at the record's spec. Shared cases are some dozens."""
-    all_ = records.select("record_id").join(F.broadcast(shared.select("case_id", "xs", "k").withColumn("_one", F.lit(1))), F.col("_one") == 1).drop("_one")
+    """(record_id, case_id, xs, k): every shared case, plus the one targeted at the record's spec. Shared cases are some dozens, and travel as one
+    array, so the product is made where the records are."""
+    packed = shared.agg(F.collect_list(F.struct("case_id", "xs", "k")).alias("c")).scalar()
+    all_ = records.select("record_id", F.explode(packed).alias("c")).select("record_id", "c.*")
     own = records.select("record_id", "spec_id").join(targeted, "spec_id").select("record_id", "case_id", "xs", "k")
     return all_.unionByName(own)
 

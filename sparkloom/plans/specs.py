@@ -82,7 +82,7 @@ def containment(specs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def containment_audit(extracted: DataFrame, expected: DataFrame) -> DataFrame:
     """Counts by (pair_id, n_ops) beside the expected (n_ops, expected)."""
-    return extracted.groupBy("pair_id", "n_ops").count().join(F.broadcast(expected), "n_ops", "left").withColumn("ok", F.col("count").eqNullSafe(F.col("expected")))
+    return extracted.groupBy("pair_id", "n_ops").count().join(expected, "n_ops", "left").withColumn("ok", F.col("count").eqNullSafe(F.col("expected")))
 
 
 def remaining_by_size(specs: DataFrame, taken: DataFrame, key: str = "spec_id", size: str = "n_ops") -> DataFrame:
@@ -93,11 +93,17 @@ def remaining_by_size(specs: DataFrame, taken: DataFrame, key: str = "spec_id",
 def split_by_quota(rows: DataFrame, stratum: str, text: str, quotas: Column) -> DataFrame:
     """train, validation or test within each stratum by rank of (sha256(text), text); quotas: array of the first two counts.
 
-    Ranks are a window a stratum. Where strata are few and large, use ``split_by_rate``: it needs no order.
+    A stratum is cut by the first four digits of the hash into 65,536 pieces, so that few and large strata are ranked by many tasks: ranks run on
+    within a piece, and a piece starts from the counts of those before it.
     """
-    w = W.partitionBy(stratum).orderBy(sha(F.col(text)), F.col(text))
-    r = F.row_number().over(w)
-    return rows.withColumn("rank", r).withColumn("split", F.when(F.col("rank") <= quotas[0], "train").when(F.col("rank") <= quotas[0] + quotas[1], "validation").otherwise("test"))
+    rows = rows.withColumn("_hash", sha(F.col(text))).withColumn("_piece", F.substring("_hash", 1, 4))
+    counts = rows.groupBy(stratum, "_piece").agg(F.count("*").alias("_n"))
+    start = F.coalesce(F.sum("_n").over(W.partitionBy(stratum).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(stratum).alias("_stratum"), F.col("_piece").alias("_p"), start.alias("_start"))
+    out = rows.withColumn("_in", F.row_number().over(W.partitionBy(stratum, "_piece").orderBy("_hash", text)))
+    out = out.join(starts, F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_piece") == F.col("_p")))
+    out = out.withColumn("rank", (F.col("_start") + F.col("_in")).cast("int")).drop("_hash", "_piece", "_stratum", "_p", "_start", "_in")
+    return out.withColumn("split", F.when(F.col("rank") <= quotas[0], "train").when(F.col("rank") <= quotas[0] + quotas[1], "validation").otherwise("test"))
 
 
 def split_by_rate(rows: DataFrame, text: str, train: float, validation: float) -> DataFrame:

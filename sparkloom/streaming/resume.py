@@ -13,7 +13,7 @@ def append_once(source: DataFrame, work: Callable[[DataFrame], DataFrame], key:
     """Runs ``work`` on what a stream brings, and appends rows whose key the sink lacks.
 
     A batch that is run again after a failure, and keys delivered twice, add nothing: each batch is deduplicated and anti-joined with the
-    keys in the sink before it is written.
+    keys in the sink, of which one column is read, before it is written. A null key is a key like any other.
     """
 
     def commit(batch: DataFrame, number: int) -> None:
@@ -21,7 +21,8 @@ def append_once(source: DataFrame, work: Callable[[DataFrame], DataFrame], key:
         new = batch.dropDuplicates([key])
         path = spark._jvm.org.apache.hadoop.fs.Path(sink)
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            new = new.join(spark.read.parquet(sink).select(key), key, "left_anti")
+            done = spark.read.parquet(sink).select(F.col(key).alias("_done"))
+            new = new.join(done, new[key].eqNullSafe(done["_done"]), "left_anti")
         work(new).withColumn("batch", F.lit(number)).write.mode("append").parquet(sink)
 
     return source.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
