@@ -319,10 +319,11 @@ def redact(docs: DataFrame) -> DataFrame:
     found = tables.write(detect(docs))
     model = train(found)
     tables.drop(found)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            at, out = b.schema.get_field_index("text"), []
+            out = []
             for text in b.column(at).to_pylist():
                 base = base_spans(text or "")
                 added = [(k, s, e) for k, s, e in candidates(text or "", base) if _accepts(model, k, *_votes(k, text, s, e))]
@@ -340,4 +341,6 @@ def redact(docs: DataFrame) -> DataFrame:
                 out.append("".join([*parts, text[free:]]))
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, pa.string()), *b.columns[at + 1 :]], b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    # Columns go by their places: names with dots in them are no names to Arrow functions.
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

@@ -594,3 +594,46 @@ def test_pipeline(spark, sf_dir):
         assert got[d]["ids_sha256"] == brute.sha(" ".join(map(str, ids)))
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality_rules", "near_duplicates", "benchmark_decontamination", "personal_data", "sentencepiece"]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, repeated rows, columns that clash, and empty tables, through all stages."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    say = lambda n: " ".join("".join(rng.choices("abcdefghijklmnoprstuw", k=rng.randint(2, 8))) for _ in range(n)) + "."
+    a, b, c, e, leak = say(60), say(60), say(60), say(60), say(30)
+    secret = f"{c} token = \"{sha256(b'x').hexdigest()[:40]}\" and mail x.y@example.com"
+    docs = [(1, a), (1, a), (3, a), (None, b), (None, e), (None, None), (2, ""), (None, ""), (4, f"{say(40)} {leak} {say(10)}"), (5, secret), (5, say(50)), (6, "short text")]
+    frame(spark, docs, True).drop("a.b").write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    spark.createDataFrame([(1, leak), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "odd" / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert sorted((r["doc_id"] or 0) for r in got) == [0, 0, 1, 5, 5]
+    v = sentencepieces.Vocabulary(PIECES)
+    digests = {r["ids_sha256"] for r in got}
+    for t in (a, b, e, f"{c} token = \"<secret>\" and mail <email>"):
+        assert brute.sha(" ".join(map(str, v.library.encode(t, add_eos=True)))) in digests
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_scratch_clears_what_operators_leave(spark):
+    import os
+
+    def left():
+        root = common.shared_dir(spark).removeprefix("file://")
+        return {d for d in os.listdir(root) if d.startswith(("substrings-", "pii-"))}
+
+    docs, before = frame(spark, [(i, f"key = {sha256(str(i).encode()).hexdigest()}") for i in range(4)]), left()
+    with common.scratch(spark):
+        assert substrings.dedup(docs).count() == pii.find_pii(docs).count() == 4
+        assert left() > before
+    assert left() == before
+
+
+def test_redact_keeps_clashing_columns(spark):
+    docs = [(1, "mail a@b.example.com"), (None, None), (2, "")]
+    got = pii.redact(frame(spark, docs, True))
+    assert got.columns == frame(spark, docs, True).columns
+    assert rows(got, "doc_id", "text", "k", "base", "`a.b`") == sorted([(1, "mail <email>", "clash", "clash", "clash"), (None, None, "clash", "clash", "clash"), (2, "", "clash", "clash", "clash")], key=repr)
