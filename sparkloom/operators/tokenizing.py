@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,40 +47,47 @@ class BytePairs:
         self.to_byte = {c: b for b, c in self.to_char.items()}
 
     def encode(self, text: str) -> list[int]:
-        parts = [self.to_char[b] for b in text.encode()]
-        while len(parts) > 1:
-            pair = min(zip(parts, parts[1:]), key=lambda p: self.ranks.get(p, 1 << 60))
-            if pair not in self.ranks:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.vocabulary[p] for p in parts]
+        """Pairs wait in a heap by rank and place; neighbours are linked, so a merge costs a logarithm of the text's length."""
+        parts: list[str | None] = [self.to_char[b] for b in text.encode()]
+        n = len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        waiting = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.ranks.get((parts[i], parts[i + 1]))) is not None]
+        heapify(waiting)
+        while waiting:
+            _, i, x, y = heappop(waiting)
+            j = after[i] if parts[i] == x else n
+            if j >= n or parts[j] != y:
+                continue  # one of the two has gone into another piece
+            parts[i], parts[j] = x + y, None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for at in (before[i], i):
+                if at >= 0 and after[at] < n and (r := self.ranks.get((parts[at], parts[after[at]]))) is not None:
+                    heappush(waiting, (r, at, parts[at], parts[after[at]]))
+        return [self.vocabulary[p] for p in parts if p is not None]
 
     def decode(self, ids: list[int]) -> str:
         return bytes(self.to_byte[c] for i in ids if i >= self.special for c in self.pieces[i]).decode(errors="replace")
 
 
-def train_pairs(texts: DataFrame, text: str, merges: int) -> list[tuple[str, str]]:
+def train_pairs(texts: DataFrame, text: str, merges: int, least: int = 2, longest: int | None = None, cut: int = 16) -> list[tuple[str, str]]:
     """The first ``merges`` merges of byte-pair training on texts as single words: one count of pairs a merge, for small vocabularies.
 
-    Words are kept as arrays; pairs are counted with partial sums and only the best pair comes to the driver.
+    Pairs seen fewer than ``least`` times, or of more than ``longest`` characters together, are not merged. Words are kept as arrays; pairs are
+    counted with partial sums and only the best pair comes to the driver. Each ``cut`` merges the words are checkpointed, which cuts the plan.
     """
     visible = _visible()
     table = F.create_map(*[x for b, c in visible.items() for x in (F.lit(f"{b:02X}"), F.lit(c))])
     hexed = F.expr(f"filter(split(hex(cast({text} as binary)), '(?<=\\\\G..)'), x -> x <> '')")
-    rows = texts.select(F.transform(hexed, lambda h: table[h]).alias("p")).groupBy("p").agg(F.count("*").alias("n")).cache()
+    rows = texts.select(F.transform(hexed, lambda h: table[h]).alias("p")).groupBy("p").agg(F.count("*").alias("n")).checkpoint()
     done: list[tuple[str, str]] = []
-    for _ in range(merges):
-        pairs = rows.select("n", F.explode(F.expr("transform(sequence(0, greatest(0, size(p) - 2)), i -> named_struct('a', p[i], 'b', get(p, i + 1)))")).alias("x")).where("x.b IS NOT NULL")
+    for step in range(1, merges + 1):
+        pairs = rows.select("n", F.explode(F.expr("transform(sequence(0, greatest(0, size(p) - 2)), i -> named_struct('a', get(p, i), 'b', get(p, i + 1)))")).alias("x")).where("x.b IS NOT NULL")
+        if longest is not None:
+            pairs = pairs.where(F.length("x.a") + F.length("x.b") <= longest)
         best = pairs.groupBy("x").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "x").limit(1).collect()
-        if not best or best[0]["c"] < 2:
+        if not best or best[0]["c"] < least:
             break
         a, b = best[0]["x"]["a"], best[0]["x"]["b"]
         done.append((a, b))
@@ -89,6 +97,8 @@ def train_pairs(texts: DataFrame, text: str, merges: int) -> list[tuple[str, str
             lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, F.when(F.size(acc) > 0, -1).otherwise(1)) == F.lit(a)) & (x == F.lit(b)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(a + b)))).otherwise(F.concat(acc, F.array(x))),
         )
         rows = rows.select(joined.alias("p"), "n")
+        if step % cut == 0:
+            rows = rows.checkpoint()
     return done
 
 
@@ -105,6 +115,29 @@ def encoded(rows: DataFrame, text: str, tokenizer: BytePairs) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def checked(rows: DataFrame, text: str, tokenizer: BytePairs) -> DataFrame:
+    """Adds ``ids``, whether they decode to the text again (``same``), and how many stand for a single byte (``n_bytes``), in Arrow batches."""
+    names = rows.columns
+    single = {i for i, p in tokenizer.pieces.items() if i >= tokenizer.special and len(p) == 1}
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, ids array<int>, same boolean, n_bytes int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(text).to_pylist()]
+            ids = [tokenizer.encode(t) for t in texts]
+            same = [tokenizer.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(same), pa.array([sum(x in single for x in i) for i in ids], pa.int32())], [*names, "ids", "same", "n_bytes"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def check_totals(rows: DataFrame, vocabulary: int) -> DataFrame:
+    """Of ``checked`` rows: how many don't decode to themselves, the share of tokens that are single bytes, and the share of the vocabulary in use."""
+    used = rows.select(F.explode("ids").alias("i")).agg(F.countDistinct("i").alias("used")).scalar()
+    n = F.sum(F.size("ids"))
+    return rows.agg(F.count("*").alias("rows"), F.count_if(~F.col("same")).alias("broken"), (F.sum("n_bytes") / F.nullif(n, F.lit(0))).alias("byte_share"), (F.first(used) / F.lit(vocabulary)).alias("used_share"))
+
+
 def audit(ids: DataFrame, column: str, context: int, special: list[int]) -> DataFrame:
     """Lengths, share over the context, and rows in which a special token isn't there exactly once."""
     n = F.size(column)

@@ -15,7 +15,7 @@ import json
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_LENGTH, MAX_ABS, MAX_K, MAX_STEPS = 20, 100, 10, 4
@@ -178,6 +178,15 @@ def input_problem(xs: str = "xs", k: str = "k") -> Column:
     )
 
 
+def read_inputs(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with xs, k and ``problem`` (null for a valid input) from the JSON text of an input: an object of a list of integers and an integer."""
+    one = F.from_json(F.col(text), "xs array<bigint>, k bigint, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    out = rows.withColumn("_i", one).withColumn("_keys", F.array_sort(F.json_object_keys(text)))
+    shape = F.when(F.col("_i._bad").isNotNull() | ~F.coalesce(F.col("_keys") == F.array(F.lit("k"), F.lit("xs")), F.lit(False)), "not an input")
+    problem = F.coalesce(shape, F.when(F.expr(input_problem_sql("_i.xs", "_i.k")), "out of domain"))
+    return out.select(*rows.columns, F.col("_i.xs").alias("xs"), F.col("_i.k").cast("int").alias("k"), problem.alias("problem"))
+
+
 def checked(xs: str = "xs", k: str = "k") -> Column:
     """``xs``, raising where the input is not valid."""
     return F.expr(f"CASE WHEN {input_problem_sql(xs, k)} THEN cast(raise_error('input out of domain') as array<bigint>) ELSE {xs} END")

@@ -96,9 +96,16 @@ def csv_table(spark: SparkSession, path: str, schema: StructType | str) -> DataF
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("mode", "FAILFAST").csv(path)
 
 
-def config(text: str, keys: dict[str, type]) -> dict[str, Any]:
-    """An object with exactly these keys and types; a boolean is no integer."""
-    value = json.loads(text)
+def config(text: str, keys: dict[str, type], kind: str = "json") -> dict[str, Any]:
+    """An object of JSON, or of YAML where a library for it is there, with exactly these keys and types; a boolean is no integer."""
+    if kind == "yaml":
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("no library reads YAML here") from e
+        value = yaml.safe_load(text)
+    else:
+        value = json.loads(text)
     if not isinstance(value, dict) or set(value) != set(keys):
         raise ValueError(f"the keys must be {sorted(keys)}")
     for k, t in keys.items():
@@ -107,9 +114,23 @@ def config(text: str, keys: dict[str, type]) -> dict[str, Any]:
     return value
 
 
+#: Bytes of a file that may be one value.
+ONE_VALUE = 1 << 30
+
+
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of files."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of files. Those too large to be one value, few, are hashed as streams from the driver."""
+    found = spark.read.format("binaryFile").load(path)
+    out = found.where(F.col("length") <= ONE_VALUE).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = []
+    for r in found.where(F.col("length") > ONE_VALUE).select("path", "length").collect():
+        p, files = _file_system(spark, r["path"])
+        stream = files.open(p)
+        try:
+            large.append((r["path"], r["length"], spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+        finally:
+            stream.close()
+    return out.union(spark.createDataFrame(large, out.schema)) if large else out
 
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:

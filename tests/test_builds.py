@@ -8,7 +8,8 @@ from hashlib import sha256
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import build, cases, reports, scoring
+from sparkloom.operators import build, cases, reports, scoring, tokenizing
+from sparkloom.plans import algebra
 from sparkloom.sources import files
 
 #: Of the keys of sixty-four cases in the order of their making.
@@ -98,3 +99,47 @@ def test_review_sink_and_keyed_lines(spark, tmp_path):
             files.keyed_json_lines(spark, str(tmp_path / "b.jsonl"), "id int", "id").collect()
     report = reports.code_report(spark.createDataFrame([("x", "def f(): pass\n", "[1]", "[2]")], "n string, c string, e string, o string"), "n", "c", "e", "o").first()
     assert report["section"] == "## x\n\n```python\ndef f(): pass\n```\n\nInput: `[1]`  \nOutput: `[2]`\n"
+
+
+def test_byte_pairs_by_heap_and_audit(spark):
+    """Against a pass over the whole text for each merge; least counts, longest pieces and the audit."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcde é", k=rng.randint(0, 60))) for _ in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    merges = tokenizing.train_pairs(df, "t", 20, cut=7)
+    assert len(merges) == 20 == len(set(merges))
+    b = tokenizing.BytePairs({c: i for i, c in enumerate([*tokenizing._visible().values(), *[x + y for x, y in merges]])}, merges)
+
+    def plain(text):
+        parts = [b.to_char[x] for x in text.encode()]
+        for pair in merges:
+            out = []
+            for p in parts:
+                if out and (out[-1], p) == pair:
+                    out[-1] += p
+                else:
+                    out.append(p)
+            parts = out
+        return [b.vocabulary[p] for p in parts]
+
+    assert all(b.encode(t) == plain(t) and b.decode(b.encode(t)) == t for t in [*texts, "a" * 50, ""])
+    short = tokenizing.train_pairs(df, "t", 20, least=20, longest=2)
+    assert short and all(len(x + y) <= 2 for x, y in short) and len(short) < 20
+    total = tokenizing.check_totals(tokenizing.checked(df, "t", b), len(b.vocabulary)).first()
+    ids = [i for t in texts for i in plain(t)]
+    assert total["rows"] == 40 and total["broken"] == 0 and abs(total["byte_share"] - sum(i < 256 for i in ids) / len(ids)) < 1e-9 and abs(total["used_share"] - len(set(ids)) / len(b.vocabulary)) < 1e-9
+
+
+def test_inputs_from_text(spark):
+    said = {'{"k":2,"xs":[1,-3]}': None, '{"xs":[],"k":1}': None, '{"k":11,"xs":[]}': "out of domain", '{"k":1,"xs":[101]}': "out of domain", '{"k":1}': "not an input", '{"k":1,"xs":["a"]}': "not an input", "oops": "not an input", '{"k":1,"xs":[1],"y":2}': "not an input", "[1]": "not an input"}
+    got = {r["t"]: r for r in algebra.read_inputs(spark.createDataFrame([(t,) for t in said], "t string"), "t").collect()}
+    assert {t: r["problem"] for t, r in got.items()} == said and got['{"k":2,"xs":[1,-3]}']["xs"] == [1, -3]
+
+
+def test_large_files_are_hashed_as_streams(spark, tmp_path, monkeypatch):
+    (tmp_path / "a").write_bytes(b"x" * 100)
+    (tmp_path / "b").write_bytes(b"y" * 3000)
+    whole = sorted(map(tuple, files.file_hashes(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(files, "ONE_VALUE", 1000)
+    assert sorted(map(tuple, files.file_hashes(spark, str(tmp_path)).collect())) == whole
+    assert [r[2] for r in whole] == [sha256(b"x" * 100).hexdigest(), sha256(b"y" * 3000).hexdigest()]
