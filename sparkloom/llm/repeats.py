@@ -143,10 +143,10 @@ def with_texts(docs: DataFrame, per_doc: DataFrame) -> DataFrame:
 def finish(docs: DataFrame, spans: DataFrame, judge: Callable[[str, np.ndarray, np.ndarray], tuple], fields: str) -> DataFrame:
     """doc_id and what ``judge`` says of each row's text and the starts and ends of its ``spans`` (k, t, s, e).
 
-    Spans are gathered a document, at most one for each of its symbols. Documents that the bit field of those with spans doesn't
+    Spans are gathered a document, each once however often rows repeat, so at most two for each of its symbols. Documents that the bit field of those with spans doesn't
     let through are judged where they are read; the other texts are shuffled to their spans once.
     """
-    per_doc = spans.groupBy("k", "t").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    per_doc = spans.groupBy("k", "t").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     marked = spans.select("t").distinct()
     field = docs.sparkSession.sparkContext.broadcast(bloom(marked, "t", marked.count()))
     names = [f.split()[0] for f in fields.split(", ")]

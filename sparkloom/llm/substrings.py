@@ -68,7 +68,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool =
     windows = tables.write(repeats.with_texts(rows, own).mapInArrow(extend, "x long, y long, k long, t long, s int, n int"))
     twice = windows.groupBy("x", "y").agg(F.sum("n").alias("n")).where("n > 1").select("x", "y")
     found = windows.join(twice, ["x", "y"], "left_semi").select("k", "t", "s", (F.col("s") + window).alias("e"))
-    spans = tables.write(copied.select("k", "t", "s", (F.col("e") + window).alias("e")).union(found).distinct())
+    spans = tables.write(copied.select("k", "t", "s", (F.col("e") + window).alias("e")).union(found))
     tables.drop(runs, kinds, own, windows)
 
     def judge(text: str, s: np.ndarray, e: np.ndarray) -> tuple:
