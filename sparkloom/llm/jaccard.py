@@ -9,7 +9,9 @@ class, a vertex of its own number; only classes are compared, so copies are neve
   the subset connects all that link there. One minimum a subset, no list of pairs.
 * Large sets: two linked sets share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each in one global order (rare in
   a sample first). Inverted lists of those prefixes give candidates. Per list, every set is first paired with the list's
-  least and greatest members; the links so found are closed to components, and only then are pairs in different components listed,
+  centre, the member most of whose prefix other sets have (of near copies of one text: the text itself or the one with the fewest
+  changes), and with its last member; the links so found are closed to components. Where many sets can still be linked with members of
+  another component, up to ``TURNS`` rounds pair them with two other members of each list. Only then are pairs in different components listed,
   in the join condition filtered by size and by a parity sketch: its Hamming distance never exceeds the sets'
   difference, so no link is lost. All remaining pairs, those of small sets too, are verified on the whole sets. A list of over ``BLOCK`` sets is compared in blocks: its sets are
   dealt into bands of sizes, of which only equal and neighbouring ones can link, and each band into blocks of ``BLOCK`` sets or so; each
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NULL_ID, Tables, bloom, components, let_through, slices
+from sparkloom.llm.common import NULL_ID, Tables, bloom, components, let_through, maybe_in, slices
 from sparkloom.llm.hashes import grams, lowered, mix, word_hashes
 
 SHINGLE = 5
@@ -47,6 +49,9 @@ LARGEST_SMALL = 17
 SHORT_BITS, LONG_BITS, SHORT_SET = 10, 13, 1_500
 #: Sets of a list that are compared with each other in one piece.
 BLOCK = 1_000
+#: Rounds in which sets are paired with other members of their lists before all pairs that are left are listed, at most; a round is
+#: left out if it has less than one pair for so many sets. Neither decides which links are found.
+TURNS, FEW = 4, 20
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,6 +195,25 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "n int, d1 long, d2 long, s array<long>")
 
 
+def _postings(found: DataFrame, field: np.ndarray) -> DataFrame:
+    """(h, c, n, d1, d2, near): the postings that ``field`` lets through; near: how many in a thousand of its prefix that are."""
+    sent = found.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            hs, cs = (b.column(x) for x in ("hs", "cs"))
+            of = np.repeat(np.arange(b.num_rows), hs.value_lengths().to_numpy(zero_copy_only=False))
+            h, c = hs.flatten(), cs.flatten()
+            through, prefix = maybe_in(sent.value, h.to_numpy()), c.to_numpy() == 0
+            all_, shared = (np.bincount(of[x], minlength=b.num_rows) for x in (prefix, prefix & through))
+            near = (1000 * shared // np.maximum(1, all_)).astype(np.int32)
+            at = pa.array(np.flatnonzero(through))
+            rows = of[through]
+            yield pa.RecordBatch.from_arrays([h.take(at), c.take(at), *(b.column(x).take(pa.array(rows)) for x in ("n", "d1", "d2")), pa.array(near[rows])], ["h", "c", "n", "d1", "d2", "near"])
+
+    return found.select("n", "d1", "d2", "hs", "cs").mapInArrow(run, "h long, c int, n int, d1 long, d2 long, near int")
+
+
 #: Whether two sets can be linked, by their sizes and sketches: a link's sets differ in (na + nb) / 9 shingles at most.
 _POSSIBLE = (
     "10 * least(na, nb) >= 8 * greatest(na, nb) AND (size(ba) <> size(bb) OR "
@@ -245,6 +269,30 @@ def _side(placed: DataFrame, v: str, *key: str) -> DataFrame:
     return placed.select("h", *key, F.col("id").alias(v), F.col("n").alias(f"n{v}"), F.col("comp").alias(f"c{v}"), F.col("b").alias(f"b{v}"))
 
 
+def _mixed(inverted: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
+    """(h, id, n, comp, all, b): the lists with members in different components; all: the list's length."""
+    placed = inverted.select("h", "id", "n").join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("all")).where("x < y").select("h", "all")
+    return placed.join(mixed, "h").join(classes.select("id", "b"), "id")
+
+
+#: Whether a pair of a mixed list may link two components.
+_NEAR = f"ca <> cb AND {_POSSIBLE}"
+
+
+def _pair(found: DataFrame) -> DataFrame:
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _turn(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each set with two members of each of its lists, others for each list and turn, that may link their components."""
+    by = F.xxhash64("id", "h", F.lit(turn))
+    member = F.struct(*[F.col(x) for x in ("id", "n", "comp", "b")])
+    ends = placed.groupBy("h").agg(F.array(F.min_by(member, by), F.max_by(member, by)).alias("two")).select("h", F.explode("two").alias("m"))
+    ends = ends.select("h", *[F.col(f"m.{x}").alias(y) for x, y in (("id", "b"), ("n", "nb"), ("comp", "cb"), ("b", "bb"))])
+    return _pair(_side(placed, "a").join(ends, "h").where(_NEAR)).distinct()
+
+
 def _members(docs: DataFrame) -> DataFrame:
     """doc_id, t, n, comp (the component's smallest doc_id) and whether the row's text is the one that speaks for its component."""
     spark: SparkSession = docs.sparkSession
@@ -260,36 +308,46 @@ def _members(docs: DataFrame) -> DataFrame:
     ids = classes.select("n", "d1", "d2", "id")
 
     # Only what two classes hold can link them.
-    postings = found.select("n", "d1", "d2", F.explode(F.arrays_zip("hs", "cs")).alias("p")).select(F.col("p.hs").alias("h"), F.col("p.cs").alias("c"), "n", "d1", "d2")
+    postings = found.select("d1", F.explode("hs").alias("h"))
     often = tables.write(postings.groupBy("h").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("h"))
-    maybe = let_through(postings, "h", bloom(often, "h", often.count()))
-    lists = tables.write(maybe.join(often, "h").distinct().join(ids, ["n", "d1", "d2"]).select("h", "c", "id", "n"))
+    maybe = _postings(found, bloom(often, "h", often.count()))
+    lists = tables.write(maybe.join(often, "h").distinct().join(ids, ["n", "d1", "d2"]).select("h", "c", "id", "n", "near"))
     tables.drop(often)
 
     # Small sets: those of a subset of size c link with its smallest set where c is enough for both sizes.
-    ends = lists.groupBy("h").agg(F.min(F.struct("n", "id")).alias("lo"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    ends = lists.groupBy("h").agg(F.min(F.struct("n", "id")).alias("lo"), F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.struct("near", "id"))["id"].alias("centre")).where("first < last")
     small = lists.where("c > 0").join(ends, "h").where("9 * c >= 4 * (n + lo.n) AND id <> lo.id").select(F.least("id", "lo.id").alias("a"), F.greatest("id", "lo.id").alias("b"))
 
-    # Large sets: first each with the ends of its lists.
-    inverted = tables.write(lists.where("c = 0").join(ends.select("h", "first", "last"), "h"))
-    stars = inverted.select(F.col("first").alias("a"), F.col("id").alias("b")).union(inverted.select(F.col("id").alias("a"), F.col("last").alias("b"))).where("a <> b").distinct()
+    # Large sets: first each with the centres and last members of its lists.
+    inverted = tables.write(lists.where("c = 0").join(ends.select("h", "centre", "last"), "h"))
+    stars = _pair(inverted.select(F.col("centre").alias("a"), F.col("id").alias("b")).union(inverted.select(F.col("id").alias("a"), F.col("last").alias("b"))).where("a <> b")).distinct()
     stars = tables.write(_possible(stars, classes).union(small).distinct())
     linked = _verified(stars, classes, rows, tables)
     comp = tables.write(components(spark, linked, tables))
+    placed = tables.write(_mixed(inverted, comp, classes))
+    tried, used = stars, [stars, linked]
+
+    # Then, while many of the sets in different components may be linked, with other members.
+    for turn in range(TURNS):
+        more = tables.write(_turn(placed, turn).join(tried, ["a", "b"], "left_anti"))
+        used.append(more)
+        if FEW * more.count() < placed.select("id").distinct().count() or more.isEmpty():
+            break  # they are among the pairs listed below
+        links = _verified(more, classes, rows, tables)
+        tried = tried.union(more)
+        whole = tables.write(components(spark, comp.toDF("a", "b").union(links), tables))
+        tables.drop(comp, placed, links)
+        comp = whole
+        placed = tables.write(_mixed(inverted, comp, classes))
 
     # Then the pairs of a list that are in different components.
-    placed = inverted.select("h", "id", "n").join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("all")).where("x < y").select("h", "all")
-    placed = tables.write(placed.join(mixed, "h").join(classes.select("id", "b"), "id"))
-    near = f"ca <> cb AND {_POSSIBLE}"
-    both = lambda found: found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     short = placed.where(F.col("all") <= BLOCK)
-    pairs = both(_side(short, "a").join(_side(short, "b"), "h").where(f"a < b AND {near}"))
+    pairs = _pair(_side(short, "a").join(_side(short, "b"), "h").where(f"a < b AND {_NEAR}"))
     if not (long := placed.where(F.col("all") > BLOCK)).isEmpty():
         x, y = _blocked(long)
-        pairs = pairs.union(both(x.join(y, ["h", "lo", "hi", "i", "j"]).where(f"(lo < hi OR i < j OR a < b) AND {near}")))
+        pairs = pairs.union(_pair(x.join(y, ["h", "lo", "hi", "i", "j"]).where(f"(lo < hi OR i < j OR a < b) AND {_NEAR}")))
     pairs = pairs.distinct()
-    cross = tables.write(pairs.join(stars, ["a", "b"], "left_anti"))
+    cross = tables.write(pairs.join(tried, ["a", "b"], "left_anti"))
     whole = comp
     if not cross.isEmpty():
         whole = components(spark, comp.toDF("a", "b").union(_verified(cross, classes, rows, tables)), tables)
@@ -301,7 +359,7 @@ def _members(docs: DataFrame) -> DataFrame:
     same = (F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("t") == F.col("best.t"))
     out = found.select("doc_id", "t", "n", "d1", "d2").join(by_class, ["n", "d1", "d2"], "left")
     out = tables.write(out.select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("comp"), ((F.col("n") == 0) | same).alias("speaks")))
-    tables.drop(found, classes, lists, inverted, stars, linked, comp, placed, cross, placed_in)
+    tables.drop(found, classes, lists, inverted, *used, comp, placed, cross, placed_in)
     return out
 
 
