@@ -7,8 +7,8 @@ class, a vertex of its own number; only classes are compared, so copies are neve
   of c. Each small set enumerates its subsets of every size c that a partner of its size range can ask for; sets that meet in a
   subset of size c share c shingles, so only sizes decide, and linking each with the smallest set of
   the subset connects all that link there. One minimum a subset, no list of pairs.
-* Large sets: two linked sets share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each in one global order (rare in
-  a sample first). Inverted lists of those prefixes give candidates. Per list, every set is first paired with the list's
+* Large sets: two linked sets share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each in one global order (rare
+  ones first, by counters over all documents). Inverted lists of those prefixes give candidates. Per list, every set is first paired with the list's
   centre, the member most of whose prefix other sets have (of near copies of one text: the text itself or the one with the fewest
   changes), and with its last member; the links so found are closed to components. Where many sets can still be linked with members of
   another component, up to ``TURNS`` rounds pair them with two other members of each list. Only then are pairs in different components listed,
@@ -17,8 +17,8 @@ class, a vertex of its own number; only classes are compared, so copies are neve
   dealt into bands of sizes, of which only equal and neighbouring ones can link, and each band into blocks of ``BLOCK`` sets or so; each
   pair of blocks is a key of its own, so no task gets more than a block squared of one list.
 
-``boundary`` is chosen by cost: for each size a sample says how many sets have it, and enumerating costs its subsets, scanning its
-prefix plus the sampled list lengths. Any boundary, any blocks and any order of shingles give the same links.
+``boundary`` is chosen by cost: of all documents it is counted how many sets have each size, and enumerating costs its subsets, scanning its
+prefix plus the list entries that a shingle meets on average. Any boundary, any blocks and any order of shingles give the same links.
 
 Null or empty texts and texts without words have the empty set and stand alone, whatever their ids. Each row belongs to the class of its own
 text: rows of one doc_id with several texts, and rows of a null doc_id, are compared each by its text. ``component_id`` is the
@@ -37,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import NULL_ID, Tables, bloom, components, let_through, maybe_in, slices
+from sparkloom.llm.common import NULL_ID, Tables, bloom, components, let_through, maybe_in, slices, slots
 from sparkloom.llm.hashes import grams, lowered, mix, word_hashes
 
 SHINGLE = 5
-#: Documents of the sample that orders shingles, at most; frequent shingles of it that are sent to every executor, at most.
-SAMPLE_DOCS, FREQUENT = 16_384, 500_000
+#: Read no more: shingles are counted over all documents. The name stays for tests that set it.
+SAMPLE_DOCS = 0
+#: Counters of shingles, as powers of two, at least and at most (16 a document between), and the counters of one row of their sums.
+COUNTERS_LEAST, COUNTERS_MOST, PIECE = 16, 24, 1_024
 #: Largest boundary between small and large sets that is considered.
 LARGEST_SMALL = 17
 #: Bits of the parity sketch, as a power of two, and the shingles up to which a set has the shorter one.
@@ -87,7 +89,7 @@ def subsets(s: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def boundary(sizes: dict[int, int], extra: float) -> int:
-    """The size up to which subsets cost less than prefixes. sizes: sampled sets by size; extra: sampled list entries a set."""
+    """The size up to which subsets cost less than prefixes. sizes: sets by size; extra: other entries of a shingle's list."""
     best, least, cost = 0, 0.0, 0.0
     for n in range(1, LARGEST_SMALL + 1):
         enumerate_ = sum(comb(n, c) for c in subset_sizes(n))
@@ -98,31 +100,61 @@ def boundary(sizes: dict[int, int], extra: float) -> int:
     return best
 
 
-def _order(docs: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray, int]:
-    """Frequent shingles of a bounded sample of different texts, sorted, with their counts; the boundary."""
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes in the same order: up to 63 as they are, then 16 steps for each doubling."""
+    more = 64 + 16 * np.log2(np.maximum(counts, 64) / 64)
+    return np.where(counts < 64, counts, np.minimum(more, 255)).astype(np.uint8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _counter(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _order(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """How many documents have a shingle of each counter, as ``_levels``; the boundary. Both from one scan of all texts.
+
+    A shingle is counted by the leading bits of its hash. Shingles that share a counter have its sum, so the order is the same for all sets.
+    """
+    bits = min(COUNTERS_MOST, max(COUNTERS_LEAST, (16 * docs.count()).bit_length()))
+    tasks = slots(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, sizes = np.zeros(1 << bits, np.uint32), np.zeros(LARGEST_SMALL + 2, np.uint32)
         for b in slices(batches):
             sets = [shingles(t) for t in b.column("text").to_pylist()]
             if sets:
-                h, c = np.unique(np.concatenate(sets), return_counts=True)
-                n, m = np.unique([min(len(x), LARGEST_SMALL + 1) for x in sets], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([False] * len(h) + [True] * len(n)), pa.array(np.append(h.view(np.int64), n)), pa.array(np.append(c, m).astype(np.int64))], ["size", "h", "c"])
-
-    text = docs.where(F.expr(f"pmod(t, 1000000) < {ceil(share * 1_000_000)}")).select("text")
-    if share < 1:
-        text = text.distinct()
-    counted = tables.write(text.mapInArrow(run, "size boolean, h long, c long").groupBy("size", "h").agg(F.sum("c").alias("c")).where("size OR c > 2"))
-    top = counted.where("NOT size").orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
-    sizes = {r["h"]: r["c"] for r in counted.where("size").collect()}
-    tables.drop(counted)
-    h, c = top["h"].to_numpy(), top["c"].to_numpy()
-    order = np.argsort(h, kind="stable")
-    return h[order], c[order], boundary(sizes, min(8.0, len(h) / max(1, sum(sizes.values()))))
-
-
-def _own_postings(s: np.ndarray, known: np.ndarray, counts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+                at, c = np.unique(_counter(np.concatenate(sets), bits), return_counts=True)
+                total[at] += c.astype(np.uint32)
+                sizes += np.bincount([min(len(x), LARGEST_SMALL + 1) for x in sets], minlength=len(sizes)).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([sizes.tobytes()])], ["k", "c"])
+        for at in range(0, len(total) // PIECE, 256):
+            pieces = [total[i * PIECE : (i + 1) * PIECE] for i in range(at, min(at + 256, len(total) // PIECE))]
+            here = [(at + i, x.tobytes()) for i, x in enumerate(pieces) if x.any()]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in here], pa.int32()), pa.array([x for _, x in here], pa.binary())], ["k", "c"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, c in zip(b.column("k").to_pylist(), b.column("c").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.uint32).astype(np.int64)
+        out = [(k, (x if k < 0 else _levels(x)).tobytes(), float(x.sum()), float((x.astype(np.float64) ** 2).sum())) for k, x in sums.items()]
+        k, c, n, square = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(c, pa.binary()), pa.array(n, pa.float64()), pa.array(square, pa.float64())], ["k", "c", "n", "square"])
+
+    counted = docs.select("text").coalesce(tasks).mapInArrow(count, "k int, c binary").repartition(tasks, "k")
+    levels, sizes, n, square = np.zeros(1 << bits, np.uint8), np.zeros(0, np.int64), 0.0, 0.0
+    for r in counted.mapInArrow(add, "k int, c binary, n double, square double").toArrow().to_pylist():
+        if r["k"] < 0:
+            sizes = np.frombuffer(r["c"], np.int64)
+        else:
+            levels[r["k"] * PIECE : (r["k"] + 1) * PIECE] = np.frombuffer(r["c"], np.uint8)
+            n, square = n + r["n"], square + r["square"]
+    # The sum of squares less what shingles that share a counter by chance add to it.
+    extra = max(0.0, square / max(1.0, n) - 1 - n / (1 << bits))
+    return levels, boundary({i: int(x) for i, x in enumerate(sizes)}, min(8.0, extra))
+
+
+def _own_postings(s: np.ndarray, levels: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and their c of one set: its subsets of each size c, hashed with c, its prefix with c = 0, or both.
 
     Sets up to ``limit`` enumerate subsets. Those above have prefixes, and so have those that can have a partner above.
@@ -134,11 +166,7 @@ def _own_postings(s: np.ndarray, known: np.ndarray, counts: np.ndarray, limit: i
         hs.append(mix(np.array(h, np.int64).view(np.uint64) + cs[0].astype(np.uint64) * _SEED).view(np.int64))
     if n > 0.8 * limit and n:
         v = s.view(np.int64)
-        times = np.zeros(n, np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, v), len(known) - 1)
-            times = np.where(known[at] == v, counts[at], 0)
-        order = np.lexsort((v, times))
+        order = np.lexsort((v, levels[_counter(s, len(levels).bit_length() - 1)]))
         hs.append(v[order[: n - -(-8 * n // 10) + 1]])
         cs.append(np.zeros(len(hs[-1]), np.int32))
     return (np.concatenate(hs), np.concatenate(cs)) if hs else (np.empty(0, np.int64), np.empty(0, np.int32))
@@ -155,16 +183,15 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ _SEED).sum(dtype=np.uint64).view(np.int64))
 
 
-def _scanned(docs: DataFrame, frequent, limit: int) -> DataFrame:
+def _scanned(docs: DataFrame, levels, limit: int) -> DataFrame:
     """doc_id, t, set size, digest, sketch and postings of each document: one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = frequent.value
         with np.errstate(over="ignore"):
             for b in slices(batches):
                 sets = [shingles(t) for t in b.column("text").to_pylist()]
                 both = [_digest(s) for s in sets]
-                posted = [_own_postings(s, known, counts, limit) for s in sets]
+                posted = [_own_postings(s, levels.value, limit) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id"),
@@ -298,8 +325,8 @@ def _members(docs: DataFrame) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     tables = Tables(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
-    known, counts, limit = _order(rows, tables)
-    found = tables.write(_scanned(rows, spark.sparkContext.broadcast((known, counts)), limit))
+    levels, limit = _order(rows)
+    found = tables.write(_scanned(rows, spark.sparkContext.broadcast(levels), limit))
 
     # Copies have equal sketches, so any of a class will do. Once written, the numbers are fixed.
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t"))

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from hashlib import sha256
 from zlib import crc32
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -184,6 +186,37 @@ def test_near_copies_of_one_text(spark, monkeypatch):
     assert rows(jaccard.join(frame(spark, docs)), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(docs), key=repr)
 
 
+def test_order_counts_all_documents(spark, monkeypatch):
+    """Sizes and shingles are counted over every row, however few a sample would have."""
+    monkeypatch.setattr(jaccard, "SAMPLE_DOCS", 10)
+    seen = []
+    monkeypatch.setattr(jaccard, "boundary", lambda sizes, extra: seen.append((sizes, extra)) or 0)
+    rng = random.Random(3)
+    docs = [(i, "the same five words here " + words(rng, 8, 10**6)[0] if i % 2 else " ".join(words(rng, 30, 10**6))) for i in range(400)] + [(900, None)]
+    levels, limit = jaccard._order(frame(spark, docs).repartition(7))
+    true = Counter(h for _, t in docs for h in jaccard.shingles(t).tolist())
+    counters = Counter()
+    for h, c in true.items():
+        counters[h >> 48] += c
+    assert (len(levels), limit) == (1 << 16, 0)
+    assert levels.tolist() == jaccard._levels(np.array([counters[i] for i in range(1 << 16)])).tolist()
+    assert sum(seen[0][0].values()) == 401 and seen[0][0][0] == 1 and max(true.values()) == 200
+
+
+def test_centre_of_near_copies(spark):
+    """``near`` of a set is the share of its prefix that is let through: the text itself before its near copies."""
+    rng = random.Random(5)
+    base = words(rng, 120, 10**6)
+    docs = [(1, " ".join(base))] + [(10 + i, " ".join(f"e{i}x{j}" if j % (60 // i) == 0 else w for j, w in enumerate(base))) for i in (1, 2)]
+    rows_ = frame(spark, docs).select("doc_id", F.xxhash64("text").alias("t"), "text")
+    levels, _ = jaccard._order(rows_)
+    found = jaccard._scanned(rows_, spark.sparkContext.broadcast(levels), 0).cache()
+    often = found.select(F.explode("hs").alias("h")).groupBy("h").count().where("count > 1")
+    near = jaccard._postings(found, common.bloom(often, "h", often.count())).join(found.select("d1", "doc_id"), "d1")
+    least = dict(near.groupBy("doc_id").agg(F.max("near")).collect())
+    assert max(least, key=least.get) == 1 and least[1] > least[11] > least[12]
+
+
 def variants(words_, n, at):
     """A text and one near to it."""
     other = list(words_)
