@@ -207,14 +207,15 @@ def test_centre_of_near_copies(spark):
     """``near`` of a set is the share of its prefix that is let through: the text itself before its near copies."""
     rng = random.Random(5)
     base = words(rng, 120, 10**6)
-    docs = [(1, " ".join(base))] + [(10 + i, " ".join(f"e{i}x{j}" if j % (60 // i) == 0 else w for j, w in enumerate(base))) for i in (1, 2)]
+    places = [rng.sample(range(120), 2) for _ in range(12)]
+    docs = [(1, " ".join(base))] + [(10 + i, " ".join(f"e{i}x{j}" if j in at else w for j, w in enumerate(base))) for i, at in enumerate(places)]
     rows_ = frame(spark, docs).select("doc_id", F.xxhash64("text").alias("t"), "text")
     levels, _ = jaccard._order(rows_)
     found = jaccard._scanned(rows_, spark.sparkContext.broadcast(levels), 0).cache()
     often = found.select(F.explode("hs").alias("h")).groupBy("h").count().where("count > 1")
     near = jaccard._postings(found, common.bloom(often, "h", often.count())).join(found.select("d1", "doc_id"), "d1")
     least = dict(near.groupBy("doc_id").agg(F.max("near")).collect())
-    assert max(least, key=least.get) == 1 and least[1] > least[11] > least[12]
+    assert all(least[1] > v for d, v in least.items() if d != 1)
 
 
 def variants(words_, n, at):
