@@ -10,10 +10,12 @@ class, a vertex of its own number; only classes are compared, so copies are neve
 * Large sets: two linked sets share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each in one global order (rare
   ones first, by counters over all documents). Inverted lists of those prefixes give candidates. Per list, every set is first paired with the list's
   centre, the member most of whose prefix other sets have (of near copies of one text: the text itself or the one with the fewest
-  changes), and with its last member; the links so found are closed to components. Where many sets can still be linked with members of
-  another component, up to ``TURNS`` rounds pair them with two other members of each list. Only then are pairs in different components listed,
-  in the join condition filtered by size and by a parity sketch: its Hamming distance never exceeds the sets'
-  difference, so no link is lost. All remaining pairs, those of small sets too, are verified on the whole sets. A list of over ``BLOCK`` sets is compared in blocks: its sets are
+  changes), and with its last member; the links so found are closed to components. Then pairs in different components are listed. In lists of
+  up to ``SHORT_LIST`` sets the rows have sizes only, and a pair stays if it shares as many prefix shingles as a link needs (``_ENOUGH``). In longer
+  ones, of which there are few, each row has its set's parity sketch, which filters in the join condition: its Hamming distance never exceeds the
+  sets' difference, so no link is lost. Where many sets of those can still be linked with members of another component, up to ``TURNS`` rounds
+  pair them with two other members of each list before. All remaining pairs, those of small sets too, are held against the sketches and
+  verified on the whole sets. A list of over ``BLOCK`` sets is compared in blocks: its sets are
   dealt into bands of sizes, of which only equal and neighbouring ones can link, and each band into blocks of ``BLOCK`` sets or so; each
   pair of blocks is a key of its own, so no task gets more than a block squared of one list.
 
@@ -49,6 +51,8 @@ COUNTERS_LEAST, COUNTERS_MOST, PIECE = 16, 24, 1_024
 LARGEST_SMALL = 17
 #: Bits of the parity sketch, as a power of two, and the shingles up to which a set has the shorter one.
 SHORT_BITS, LONG_BITS, SHORT_SET = 10, 13, 1_500
+#: Sets of a list up to which its pairs are listed by size, without sketches: a pair is smaller than a sketch. Any number gives the same links.
+SHORT_LIST = 64
 #: Sets of a list that are compared with each other in one piece.
 BLOCK = 1_000
 #: Rounds in which sets are paired with other members of their lists before all pairs that are left are listed, at most; a round is
@@ -110,6 +114,16 @@ def _counter(s: np.ndarray, bits: int) -> np.ndarray:
     return (s >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
+
+
+def _wide(counts: bytes, n: int) -> np.ndarray:
+    """The ``n`` counts that ``_narrow`` has written."""
+    return np.frombuffer(counts, f"u{len(counts) // n}").astype(np.int64)
+
+
 def _order(docs: DataFrame) -> tuple[np.ndarray, int]:
     """How many documents have a shingle of each counter, as ``_levels``; the boundary. Both from one scan of all texts.
 
@@ -126,17 +140,17 @@ def _order(docs: DataFrame) -> tuple[np.ndarray, int]:
                 at, c = np.unique(_counter(np.concatenate(sets), bits), return_counts=True)
                 total[at] += c.astype(np.uint32)
                 sizes += np.bincount([min(len(x), LARGEST_SMALL + 1) for x in sets], minlength=len(sizes)).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([sizes.tobytes()])], ["k", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([_narrow(sizes)])], ["k", "c"])
         for at in range(0, len(total) // PIECE, 256):
             pieces = [total[i * PIECE : (i + 1) * PIECE] for i in range(at, min(at + 256, len(total) // PIECE))]
-            here = [(at + i, x.tobytes()) for i, x in enumerate(pieces) if x.any()]
+            here = [(at + i, _narrow(x)) for i, x in enumerate(pieces) if x.any()]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in here], pa.int32()), pa.array([x for _, x in here], pa.binary())], ["k", "c"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b.column("k").to_pylist(), b.column("c").to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.uint32).astype(np.int64)
+                sums[k] = sums.get(k, 0) + _wide(c, PIECE if k >= 0 else LARGEST_SMALL + 2)
         out = [(k, (x if k < 0 else _levels(x)).tobytes(), float(x.sum()), float((x.astype(np.float64) ** 2).sum())) for k, x in sums.items()]
         k, c, n, square = zip(*out, strict=True) if out else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(c, pa.binary()), pa.array(n, pa.float64()), pa.array(square, pa.float64())], ["k", "c", "n", "square"])
@@ -296,13 +310,35 @@ def _side(placed: DataFrame, v: str, *key: str) -> DataFrame:
     return placed.select("h", *key, F.col("id").alias(v), F.col("n").alias(f"n{v}"), F.col("comp").alias(f"c{v}"), F.col("b").alias(f"b{v}"))
 
 
+def _placed(inverted: DataFrame, comp: DataFrame) -> DataFrame:
+    """(h, id, n, all, comp): the rows of lists with their components."""
+    return inverted.select("h", "id", "n", "all").join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
 def _mixed(inverted: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
-    """(h, id, n, comp, all, b): the lists with members in different components; all: the list's length."""
-    placed = inverted.select("h", "id", "n").join(comp.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("all")).where("x < y").select("h", "all")
+    """(h, id, n, all, comp, b): the long lists with members in different components; all: the list's length."""
+    placed = _placed(inverted.where(F.col("all") > SHORT_LIST), comp)
+    mixed = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("h")
     return placed.join(mixed, "h").join(classes.select("id", "b"), "id")
 
 
+#: Whether m shingles in both prefixes are enough for a link of sets of na and nb. Of those that a link shares, ceil(4 (na + nb) / 9) at least,
+#: the set whose prefix ends first in the order has all but ceil(0.8 n) - 1 in its prefix, and there the other set's prefix has them too.
+_ENOUGH = "m >= (4 * (na + nb) + 8) div 9 - (8 * greatest(na, nb) + 9) div 10 + 1"
+
+
+def _listed(placed: DataFrame) -> DataFrame:
+    """The pairs (a, b) of short lists in different components that sizes and common prefix shingles allow.
+
+    placed: ``_placed`` of the lists of three sets up to ``SHORT_LIST``. Pairs with shorter or longer lists may miss here, as not all that they
+    share is counted: the two sets of a list are each other's centre or last member and tried before, and those of longer lists are found there.
+    """
+    lists = placed.groupBy("h").agg(F.collect_list(F.struct("id", "n", "comp")).alias("of"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+    other = "filter(of, y -> x.id < y.id AND x.comp <> y.comp AND 10 * least(x.n, y.n) >= 8 * greatest(x.n, y.n))"
+    pairs = lists.select(F.expr(f"inline(flatten(transform(of, x -> transform({other}, y -> named_struct('a', x.id, 'b', y.id, 'na', x.n, 'nb', y.n)))))"))
+    return pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("m")).where(_ENOUGH).select("a", "b")
+
+
 #: Whether a pair of a mixed list may link two components.
 _NEAR = f"ca <> cb AND {_POSSIBLE}"
 
@@ -342,19 +378,20 @@ def _members(docs: DataFrame) -> DataFrame:
     tables.drop(often)
 
     # Small sets: those of a subset of size c link with its smallest set where c is enough for both sizes.
-    ends = lists.groupBy("h").agg(F.min(F.struct("n", "id")).alias("lo"), F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.struct("near", "id"))["id"].alias("centre")).where("first < last")
+    ends = lists.groupBy("h").agg(F.min(F.struct("n", "id")).alias("lo"), F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.struct("near", "id"))["id"].alias("centre"), F.count("*").alias("all")).where("first < last")
     small = lists.where("c > 0").join(ends, "h").where("9 * c >= 4 * (n + lo.n) AND id <> lo.id").select(F.least("id", "lo.id").alias("a"), F.greatest("id", "lo.id").alias("b"))
 
     # Large sets: first each with the centres and last members of its lists.
-    inverted = tables.write(lists.where("c = 0").join(ends.select("h", "centre", "last"), "h"))
+    inverted = tables.write(lists.where("c = 0").join(ends.select("h", "centre", "last", "all"), "h"))
     stars = _pair(inverted.select(F.col("centre").alias("a"), F.col("id").alias("b")).union(inverted.select(F.col("id").alias("a"), F.col("last").alias("b"))).where("a <> b")).distinct()
     stars = tables.write(_possible(stars, classes).union(small).distinct())
+    tables.drop(lists)
     linked = _verified(stars, classes, rows, tables)
     comp = tables.write(components(spark, linked, tables))
     placed = tables.write(_mixed(inverted, comp, classes))
     tried, used = stars, [stars, linked]
 
-    # Then, while many of the sets in different components may be linked, with other members.
+    # Then those of long lists, while many of them in different components may be linked, with other members.
     for turn in range(TURNS):
         more = tables.write(_turn(placed, turn).join(tried, ["a", "b"], "left_anti"))
         used.append(more)
@@ -368,8 +405,9 @@ def _members(docs: DataFrame) -> DataFrame:
         placed = tables.write(_mixed(inverted, comp, classes))
 
     # Then the pairs of a list that are in different components.
-    short = placed.where(F.col("all") <= BLOCK)
-    pairs = _pair(_side(short, "a").join(_side(short, "b"), "h").where(f"a < b AND {_NEAR}"))
+    pairs = _possible(_listed(_placed(inverted.where(F.col("all").between(3, SHORT_LIST)), comp)), classes)
+    whole_lists = placed.where(F.col("all") <= BLOCK)
+    pairs = pairs.union(_pair(_side(whole_lists, "a").join(_side(whole_lists, "b"), "h").where(f"a < b AND {_NEAR}")))
     if not (long := placed.where(F.col("all") > BLOCK)).isEmpty():
         x, y = _blocked(long)
         pairs = pairs.union(_pair(x.join(y, ["h", "lo", "hi", "i", "j"]).where(f"(lo < hi OR i < j OR a < b) AND {_NEAR}")))
@@ -386,7 +424,7 @@ def _members(docs: DataFrame) -> DataFrame:
     same = (F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("t") == F.col("best.t"))
     out = found.select("doc_id", "t", "n", "d1", "d2").join(by_class, ["n", "d1", "d2"], "left")
     out = tables.write(out.select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("comp"), ((F.col("n") == 0) | same).alias("speaks")))
-    tables.drop(found, classes, lists, inverted, *used, comp, placed, cross, placed_in)
+    tables.drop(found, classes, inverted, *used, comp, placed, cross, placed_in)
     return out
 
 

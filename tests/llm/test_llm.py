@@ -186,6 +186,49 @@ def test_near_copies_of_one_text(spark, monkeypatch):
     assert rows(jaccard.join(frame(spark, docs)), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(docs), key=repr)
 
 
+@pytest.mark.parametrize("short", [None, 0, 5])
+def test_rows_of_short_lists_have_no_sketches(spark, short, monkeypatch):
+    """Sets that share passages, and near copies, in lists of some sets: whatever is listed by sizes alone, the links are the same."""
+    if short is not None:
+        monkeypatch.setattr(jaccard, "SHORT_LIST", short)
+    written, write = [], jaccard.Tables.write
+
+    def watched(self, df):
+        out = write(self, df)
+        written.append(out.count() if {"h", "b"} <= set(df.columns) else 0)
+        return out
+
+    monkeypatch.setattr(jaccard.Tables, "write", watched)
+    rng = random.Random(21)
+    passages, base = [words(rng, 40, 10**6) for _ in range(12)], words(rng, 120, 10**6)
+    docs = [(i, " ".join([*words(rng, 30, 10**6), *passages[i % 12], *words(rng, 30, 10**6)])) for i in range(60)]
+    docs += [(100 + i, " ".join(w if rng.random() > rng.choice((0.005, 0.02, 0.04)) else f"e{rng.randrange(10**6)}" for w in base)) for i in range(40)]
+    assert rows(jaccard.join(frame(spark, docs)), "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard(docs), key=repr)
+    assert (sum(written) > 0) == (short is not None)
+
+
+def test_links_share_enough_of_their_prefixes(spark):
+    """No linked pair shares fewer prefix shingles than ``_ENOUGH`` asks for, at any sizes; of equal sizes it asks for many."""
+    rng = np.random.default_rng(8)
+    levels, found = np.arange(1 << 16, dtype=np.uint64).astype(np.uint8), []
+    for _ in range(4000):
+        na = int(rng.integers(1, 250))
+        nb = int(rng.integers(-(-8 * na // 10), na + 1))
+        shared = -(-4 * (na + nb) // 9)
+        if shared <= nb:
+            every = np.unique(rng.integers(0, 1 << 63, na + nb - shared, dtype=np.uint64))
+            # Those of the one set alone come first in the order, last, or anywhere.
+            every = every[np.argsort(levels[jaccard._counter(every, 16)])] if rng.random() < 0.7 else rng.permutation(every)
+            every = every[::-1] if rng.random() < 0.5 else every
+            a, b = every[:na], every[na - shared :]
+            a, b = (set(jaccard._own_postings(np.sort(x), levels, 0)[0].tolist()) for x in (a, b))
+            found.append((len(a & b), na, nb))
+    assert len(found) > 2000
+    df = spark.createDataFrame(found, "m long, na long, nb long")
+    assert df.where(f"NOT ({jaccard._ENOUGH})").isEmpty()
+    assert spark.sql(f"SELECT {jaccard._ENOUGH} FROM VALUES (8, 90, 90), (9, 90, 90), (1, 100, 80) AS t(m, na, nb)").collect() == [(False,), (True,), (True,)]
+
+
 def test_order_counts_all_documents(spark, monkeypatch):
     """Sizes and shingles are counted over every row, however few a sample would have."""
     monkeypatch.setattr(jaccard, "SAMPLE_DOCS", 10)
